@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from .neighbors import similar_vectors
+from .segment import split_oversized
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,5 +18,44 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.least("id", "neighbor").alias("chunk_a"), F.greatest("id", "neighbor").alias("chunk_b")).distinct()
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found}
-ORACLES: dict[str, str] = {}
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections and chunks as (item, text)."""
+    papers, chunks = table(spark, sf_dir, "parsed_papers"), table(spark, sf_dir, "chunks")
+    section = papers.select("paper_id", F.posexplode("sections").alias("pos", "s")).select(
+        F.struct(F.lit("parsed_papers").alias("t"), F.concat("paper_id", F.lit("#"), F.col("pos").cast("string")).alias("k")).alias("item"),
+        F.col("s.text").alias("text"),
+    )
+    chunk = chunks.select(F.struct(F.lit("chunks").alias("t"), F.col("chunk_id").alias("k")).alias("item"), F.col("chunk_text").alias("text"))
+    return section.unionByName(chunk).where(F.col("item.k").isNotNull())
+
+
+def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pieces of the texts that were split."""
+    got = split_oversized(_texts(spark, sf_dir), "item", "text").where(F.col("pieces") > 1).distinct()
+    return got.select(F.col("key.t").alias("table_name"), F.col("key.k").alias("item_key"), "piece", "pieces", "n_tokens", "start", "end", "text")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that came out of the splitter in more than one piece."""
+    got = split_oversized(_texts(spark, sf_dir), "item", "text").where((F.col("pieces") > 1) & (F.col("piece") == 0))
+    return got.select(F.col("key.t").alias("table_name"), F.col("key.k").alias("item_key")).distinct()
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p4_found": p4_found,
+    "p4_pieces": p4_pieces,
+}
+
+#: Token of problem 4 for the SQL engine.
+_TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\p{Z}\s\x85]"
+
+ORACLES: dict[str, str] = {
+    "p4_found": rf"""
+        with s as (select paper_id, unnest(sections) as s, unnest(range(len(sections))) as pos from parsed_papers),
+        t as (
+            select 'parsed_papers' as table_name, paper_id || '#' || pos as item_key, s."text" as x from s
+            union all select 'chunks', chunk_id, chunk_text from chunks)
+        select distinct table_name, item_key from t
+        where item_key is not null and length(x) > 600 and len(regexp_extract_all(x, '{_TOKEN}')) > 600""",
+}
