@@ -7,9 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import cut_lineage, table
+from .mixing import mix
 from .neighbors import similar_vectors
+from .packing import container_report, pack
+from .quality import text_quality
 from .segment import split_oversized
+from .tokens import sized
+
+#: Tokens of a container.
+CAPACITY = 2048
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,10 +48,63 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("key.t").alias("table_name"), F.col("key.k").alias("item_key")).distinct()
 
 
+def _shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "source_targets").select("source", F.col("target_share").alias("share"))
+
+
+def p6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in containers of CAPACITY tokens, sources mixed in the wanted proportions."""
+    # sizes are read four times: tokenize once
+    sizes = cut_lineage(sized(table(spark, sf_dir, "documents"), "doc_id", "text", "source"))
+    return pack(sizes, _shares(spark, sf_dir), CAPACITY).withColumnRenamed("id", "doc_id")
+
+
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers and how full they are."""
+    return container_report(p6_pack(spark, sf_dir), CAPACITY)
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, sf_dir, "documents")
+    sizes = sized(docs, "doc_id", "text", "source")
+    weights = text_quality(docs, "doc_id", "text").select("id", (0.1 + 0.9 * F.col("prose_share")).alias("weight"))
+    rows = cut_lineage(sizes.join(weights, "id"))  # doc_id is unique
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    return mix(rows, table(spark, sf_dir, "source_targets"), total)
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and how often each is used, for as many tokens as the table has; better prose is likelier."""
+    return _mixed(spark, sf_dir)[0].withColumnRenamed("id", "doc_id")
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares reached by source."""
+    return _mixed(spark, sf_dir)[1]
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of which more than half, by characters, is no natural prose."""
+    got = text_quality(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return got.where(~F.col("is_prose")).select(F.col("id").alias("doc_id"))
+
+
+def p8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All statistics and reasons per document."""
+    got = text_quality(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+    return got.withColumn("reasons", F.array_join("reasons", ","))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
+    "p6_pack": p6_pack,
+    "p6_report": p6_report,
+    "p7_mix": p7_mix,
+    "p7_report": p7_report,
+    "p8_found": p8_found,
+    "p8_quality": p8_quality,
 }
 
 #: Token of problem 4 for the SQL engine.
