@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage, table
 from .mixing import mix
+from .neardup import near_classes, near_pairs
 from .neighbors import similar_vectors
 from .packing import container_report, pack
 from .quality import text_quality
@@ -25,6 +26,26 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.least("id", "neighbor").alias("chunk_a"), F.greatest("id", "neighbor").alias("chunk_b")).distinct()
 
 
+def _near_papers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    text = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("abstract", F.lit("")))
+    return near_classes(table(spark, sf_dir, "papers"), "id", text, size=3, threshold=0.6)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of papers with similar title and abstract."""
+    return near_pairs(*_near_papers(spark, sf_dir))
+
+
+def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per paper and text: the ids with an equal set of runs, and links to other texts."""
+    members, links = _near_papers(spark, sf_dir)
+    ends = links.select(F.col("class_a").alias("class")).unionByName(links.select(F.col("class_b").alias("class")))
+    degree = ends.groupBy("class").agg(F.count("*").alias("links"))
+    head = members.groupBy("class").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"))
+    got = members.join(head, "class").join(degree, "class", "left")
+    return got.select("id", "class_id", "class_size", F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
+
+
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections and chunks as (item, text)."""
     papers, chunks = table(spark, sf_dir, "parsed_papers"), table(spark, sf_dir, "chunks")
@@ -97,6 +118,8 @@ def p8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
+    "p2_found": p2_found,
+    "p2_classes": p2_classes,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
     "p6_pack": p6_pack,
@@ -110,7 +133,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: Token of problem 4 for the SQL engine.
 _TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\p{Z}\s\x85]"
 
+#: Word runs of papers in SQL: s(id, run), n(id, n).
+_RUNS = """
+    with w as (select distinct id, regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(abstract, '')), '[a-z0-9]+') as w
+               from papers where id is not null),
+    t as (select id, w, string_agg(x, ' ' order by x) as k, count(*) as n
+          from (select distinct id, w, w[i] || ' ' || w[i+1] || ' ' || w[i+2] as x from (select id, w, unnest(range(1, len(w) - 1)) as i from w))
+          group by id, w),
+    s as (select distinct id, w, w[i] || ' ' || w[i+1] || ' ' || w[i+2] as x from (select id, w, unnest(range(1, len(w) - 1)) as i from w)),
+    bo as (select a.id as a, a.w as wa, b.id as b, b.w as wb, count(*) as c from s a join s b on a.x = b.x and (a.id, a.w) < (b.id, b.w)
+             group by all),
+    sim as (select a, b, ta.k as ka, tb.k as kb, c / (ta.n + tb.n - c) as j from bo
+            join t ta on ta.id = a and ta.w = wa join t tb on tb.id = b and tb.w = wb)"""
+
 ORACLES: dict[str, str] = {
+    "p2_found": _RUNS + " select distinct a as id_a, b as id_b from sim where j >= 0.6 - 1e-12 and a <> b",
+    "p2_classes": _RUNS
+    + """, h as (select k, min(id) as class_id, count(*) as class_size from (select distinct id, k from t) group by k),
+        e as (select distinct least(ka, kb) as x, greatest(ka, kb) as y from sim where j >= 0.6 - 1e-12 and ka <> kb),
+        d as (select k, count(*) as links from (select x as k from e union all select y from e) group by k)
+        select m.id, class_id, class_size, coalesce(links, 0) as links from (select distinct id, k from t) m join h using (k) left join d using (k)""",
     "p4_found": rf"""
         with s as (select paper_id, unnest(sections) as s, unnest(range(len(sections))) as pos from parsed_papers),
         t as (
