@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage, table
 from .mixing import mix
+from .names import link_names, name_pairs
 from .neardup import near_classes, near_pairs
 from .neighbors import similar_vectors
 from .packing import container_report, pack
@@ -69,6 +70,24 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("key.t").alias("table_name"), F.col("key.k").alias("item_key")).distinct()
 
 
+def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    authors = table(spark, sf_dir, "authors")
+    rows = authors.select(F.col("author_id").alias("id"), "name", "affiliation", F.col("paper_count").alias("freq"))
+    return link_names(rows, table(spark, sf_dir, "given_name_forms"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of authors whose names mean one person or organisation."""
+    return name_pairs(_linked(spark, sf_dir)).select(F.col("id_a").alias("author_a"), F.col("id_b").alias("author_b"))
+
+
+def p5_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every author with the smallest author_id of its entity."""
+    got = _linked(spark, sf_dir)
+    head = got.groupBy("entity").agg(F.min("id").alias("entity_id"), F.count_distinct("id").alias("spellings"))
+    return got.join(head, "entity").select(F.col("id").alias("author_id"), "entity_id", "spellings")
+
+
 def _shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "source_targets").select("source", F.col("target_share").alias("share"))
 
@@ -122,6 +141,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_classes": p2_classes,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
+    "p5_found": p5_found,
+    "p5_entities": p5_entities,
     "p6_pack": p6_pack,
     "p6_report": p6_report,
     "p7_mix": p7_mix,
