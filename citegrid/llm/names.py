@@ -116,7 +116,7 @@ def _best(pairs: DataFrame) -> DataFrame:
     return best
 
 
-def _chase(links: DataFrame, rounds: int = 4) -> DataFrame:
+def _chase(links: DataFrame, rounds: int = 3) -> DataFrame:
     """node -> root, following attachments; each goes to a higher rank, so there are no circles."""
     for _ in range(rounds):
         nxt = links.select(F.col("node").alias("to"), F.col("to").alias("then"))
@@ -131,7 +131,9 @@ def link_names(df: DataFrame, short_forms: DataFrame) -> DataFrame:
     left out; null frequencies count as 0, null affiliations as not known. Repeated rows give equal rows. Empty tables: no rows.
     Further columns, whatever their names, are not read.
     """
-    forms = _in_order(read_forms(df.select(F.col("id").cast("bigint").alias("id"), "name", "affiliation", F.col("freq").cast("double").alias("freq"))))
+    # every table that several branches read is written once: the plans stay small
+    read = read_forms(df.select(F.col("id").cast("bigint").alias("id"), "name", "affiliation", F.col("freq").cast("double").alias("freq")))
+    forms = _in_order(cut_lineage(read))
     # a form that has only an initial is one form for each affiliation
     full = (F.col("given") != "") | (F.col("kind") == "org")
     key = F.struct("kind", "last", "given", F.when(full, F.lit("")).otherwise(F.col("initial")).alias("i"), "rest", F.when(full, F.lit("")).otherwise(F.concat("acr", F.lit("|"), "place")).alias("a"))
@@ -169,7 +171,7 @@ def link_names(df: DataFrame, short_forms: DataFrame) -> DataFrame:
     pairs = pairs.where(rank(F.col("c")) > rank(F.col("v")))
     short = meet(people.join(shorts, "given").withColumn("given", F.col("long")), people, ["last", "given"], "short").where(F.col("v.given") != F.col("c.given"))
     short_side = _best(pairs.unionByName(short))
-    roots = _chase(_acyclic(short_side, nodes))
+    roots = _chase(cut_lineage(_acyclic(cut_lineage(short_side))))
 
     # whole persons: affiliation and mass of all their full forms
     owner = nodes.where(F.col("given") != "").join(roots, "node", "left").withColumn("root", F.coalesce("to", "node"))
@@ -190,7 +192,7 @@ def link_names(df: DataFrame, short_forms: DataFrame) -> DataFrame:
     loose = meet(bare.where(~there), likeliest(person), ["last", "initial"], "initial")
     lost = meet(bare.where(there), likeliest(person.where(~there)), ["last", "initial"], "initial")
     alone = meet(bare.where(there), likeliest(person), ["last", "initial"], "initial")  # a slip in the affiliation's letters
-    chosen = _best(near.unionByName(slip).unionByName(loose).unionByName(lost).unionByName(alone))
+    chosen = cut_lineage(_best(near.unionByName(slip).unionByName(loose).unionByName(lost).unionByName(alone)))
     # initials that no full form explains: by surname and affiliation, the longest form stands for the rest
     orphan = bare.join(chosen.select("node"), "node", "left_anti")
     head = orphan.where(there).groupBy("last", "initial", "acr").agg(F.max_by("node", F.struct(F.length("rest"), "freq", "node")).alias("to"))
@@ -199,7 +201,7 @@ def link_names(df: DataFrame, short_forms: DataFrame) -> DataFrame:
     return forms.join(every, "node", "left").select("id", F.coalesce("to", "node").alias("entity"))
 
 
-def _acyclic(links: DataFrame, nodes: DataFrame) -> DataFrame:
+def _acyclic(links: DataFrame) -> DataFrame:
     """Short forms may outrank their long form: of two forms attached to each other the smaller attachment goes."""
     back = links.select(F.col("to").alias("node"), F.col("node").alias("to"), F.lit(True).alias("mutual"))
     x = links.join(back, ["node", "to"], "left")
