@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -77,12 +75,14 @@ def section_type(heading: Column, position: Column) -> Column:
     """Type by exact heading without its number, else by the first known word in it, else by position (0 to 1)."""
     keys = section_keys()
     exact = F.create_map(*[F.lit(x) for kv in keys.items() for x in kv])
+    order = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in keys.items()])
     bare = F.trim(F.regexp_replace(strip(F.lower(heading)), r"^[\d\.\s]+", ""))
-    inside = reduce(lambda w, kv: w.when(bare.contains(kv[0]), kv[1]) if w is not None else F.when(bare.contains(kv[0]), kv[1]), keys.items(), None)
+    # a lambda's variable is computed once; the expression itself would be for every key
+    named = F.transform(F.array(bare), lambda b: F.coalesce(F.try_element_at(exact, b), F.get(F.filter(order, lambda k: F.contains(b, k["k"])), F.lit(0))["v"]))
     place = (
         F.when(position < 0.15, "introduction").when(position < 0.35, "method").when(position < 0.75, "experiment").when(position < 0.90, "discussion").otherwise("conclusion")
     )
-    return F.when(heading.isNull() | (heading == ""), "unknown").otherwise(F.coalesce(F.try_element_at(exact, bare), inside, place))
+    return F.when(heading.isNull() | (heading == ""), "unknown").otherwise(F.coalesce(named[0], place))
 
 
 def kept_section(kind: Column) -> Column:

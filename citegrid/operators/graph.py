@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import cut_lineage
 from .orphans import bare_id
 
 
@@ -145,13 +146,13 @@ class Graph:
         """
         if start == goal:
             return []
-        e = self.near().distinct()
+        e = cut_lineage(self.near().distinct())
         front = self.papers.where(F.col("id") == F.lit(start)).select(F.col("id").alias("at"), F.array("id").alias("way")).limit(1)
         seen = front.select("at")
         for d in range(1, most + 1):
             step = e.select(F.col("src").alias("at"), F.col("dst").alias(f"n{d}"))
             nxt = front.join(step, "at").groupBy(F.col(f"n{d}").alias("next")).agg(F.min(F.concat("way", F.array(f"n{d}"))).alias("way"))
-            front = nxt.withColumnRenamed("next", "at").join(seen, "at", "left_anti")
+            front = cut_lineage(nxt.withColumnRenamed("next", "at").join(seen, "at", "left_anti"))
             hit = front.where(F.col("at") == F.lit(goal)).select("way").first()
             if hit:
                 return list(hit["way"])

@@ -27,6 +27,11 @@ def one(g: Graph) -> str:
     return row["id"] if row else ""
 
 
+def most_cited(g: Graph) -> str:
+    row = g.cites.groupBy("dst").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dst").first()
+    return row["dst"] if row else ""
+
+
 def around(method: str, *args):
     def run(spark: SparkSession, d: str) -> DataFrame:
         g = graph(spark, d)
@@ -99,7 +104,7 @@ QUERIES = {
     "paper_context": of_one("context"),
     "paper_citations": of_one("citations"),
     "lineage_ancestors": of_one("lineage"),
-    "lineage_descendants": of_one("lineage", forward=False),
+    "lineage_descendants": lambda s, d: (lambda g: g.lineage(most_cited(g), forward=False))(graph(s, d)),
     "citation_path": citation_path,
     "author_network": author_network,
     "top_authors": plain("top_authors", FIELD),
@@ -117,9 +122,9 @@ QUERIES = {
 _CITED = "select id, title, year, citation_count, field from known where {0} order by citation_count desc, id limit {1}"
 
 
-def _walk(a: str, b: str, order: str) -> str:
+def _walk(a: str, b: str, order: str, begin: str = "seed") -> str:
     return f""",
-    w as (select {b} as here, [src || '>' || dst] as used, 1 as depth from cites where {a} = (select id from seed)
+    w as (select {b} as here, [src || '>' || dst] as used, 1 as depth from cites where {a} = (select id from {begin})
           union all select c.{b}, list_append(used, c.src || '>' || c.dst), depth + 1 from w join cites c on c.{a} = w.here
           where depth < 3 and not list_contains(used, c.src || '>' || c.dst)),
     lin as (select id, title, year, citation_count, depth from (select distinct here, depth from w) x join titled on id = here order by depth, {order} desc nulls last, id limit 15)"""
@@ -167,7 +172,7 @@ ORACLES = {
     + """ select 'reference' as direction, id, title, year from cites join nodes on id = dst where src = (from seed)
           union all select 'citer', id, title, year from cites join nodes on id = src where dst = (from seed)""",
     "lineage_ancestors": GRAPH + _ANCESTORS + " select * from lin",
-    "lineage_descendants": GRAPH + _walk("dst", "src", "year") + " select * from lin",
+    "lineage_descendants": GRAPH + _walk("dst", "src", "year", "cited") + " select * from lin",
     "citation_path": GRAPH
     + """, e as (select distinct src, dst from near), goal as (select id from seeds where id = (select src from cites group by src order by count(*) desc, src limit 1 offset (select count(*) - 1 from seeds))),
           w as (select id as here, [id] as way, 0 as d from seed union all

@@ -26,8 +26,8 @@ def field(c: str, table: dict[str, str] = FIELDS) -> str:
 INDEX = """
     idx as (select * from chunks qualify row_number() over (partition by chunk_id order by created_at desc) = 1),
     vec as (select * from idx where len(embedding) = 96),
-    q as (select embedding::double[] as v from vec order by chunk_id limit 1),
-    h as (select embedding::double[] as v from vec order by chunk_id limit 1 offset 1)"""
+    q as (select embedding::double[] as v from vec where is_fulltext order by chunk_id limit 1),
+    h as (select embedding::double[] as v from vec where is_fulltext order by chunk_id limit 1 offset 1)"""
 
 #: The latest version of each paper.
 CURRENT = f"""
@@ -49,4 +49,5 @@ GRAPH = rf"""
     titled as (select * from known where title is not null),
     coauthored as (select x.name as a, y.name as b, count(*) as papers from authored x join authored y on x.paper = y.paper and x.name < y.name group by all),
     seeds as (select src as id from cites group by src order by count(*) desc, src limit 10),
+    cited as (select dst as id from cites group by dst order by count(*) desc, dst limit 1),
     seed as (select src as id from cites group by src order by count(*) desc, src limit 1)"""
