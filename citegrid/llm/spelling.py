@@ -24,7 +24,7 @@ ORG_KINDS = {
     "initiative": "initiative",
     "committee": "committee",
 }
-ORG_FILL = {"the", "on", "behalf", "of", "for", "and", "working", "members", "member"}
+ORG_FILL = {"the", "on", "behalf", "of", "for", "and", "working", "work", "members", "member"}
 SMALL = {"of", "for", "the", "and", "in", "at", "de"}
 LOOKALIKE = str.maketrans({"0": "o", "1": "l", "5": "s", "3": "e", "4": "a", "8": "b", "6": "g", "7": "t"})
 
@@ -96,6 +96,11 @@ def read_name(name: str) -> Name | None:
     return Name("person", surname, first if len(first) > 1 else "", first[:1], tuple(tokens[1:]), rank)
 
 
+def _small(w: str) -> bool:
+    """A particle, also with a slip in it."""
+    return w in SMALL or (len(w) <= 4 and any(edits(w, x, 1) <= 1 for x in SMALL if len(x) > 1))
+
+
 def read_affiliation(a: str | None) -> tuple[str, str, str]:
     """(acronym, full name or '', place or '')."""
     if not a or not a.strip():
@@ -105,8 +110,8 @@ def read_affiliation(a: str | None) -> tuple[str, str, str]:
     m = re.fullmatch(r"([A-Z]{2,5})(?:\s+(\S.*))?", head.strip())
     if m and not (m.group(2) or "").isupper():
         return m.group(1).lower(), "", (m.group(2) or place).strip().lower()
-    words = re.findall(r"[^\W_]+", head.lower())
-    letters = "".join(w[0] for w in words if w not in SMALL)
+    words = [w.translate(LOOKALIKE) for w in re.findall(r"[^\W_]+", head.lower())]
+    letters = "".join(w[0] for w in words if not _small(w))
     return letters, " ".join(words), place.strip().lower()
 
 
@@ -138,4 +143,4 @@ def same_affiliation(a: tuple[str, str, str], b: tuple[str, str, str]) -> int:
         return 1 if edits(a[1], b[1], 2) <= 2 else -1
     if a[0] == b[0]:
         return 1 if not a[2] or not b[2] or edits(a[2], b[2], 1) <= 1 else -1
-    return 0 if edits(a[0], b[0], 1) <= 1 and a[2] == b[2] else -1  # a slip in the full form changes its letters
+    return 0 if edits(a[0], b[0], 1) <= 1 and (a[2] == b[2] or min(len(a[0]), len(b[0])) > 2) else -1  # a slip in the full form changes its letters
