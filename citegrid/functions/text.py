@@ -122,7 +122,7 @@ def client_ip(forwarded: Column) -> Column:
 
 
 def comma_set(c: Column) -> Column:
-    return F.array_distinct(F.filter(F.transform(F.split(c, ","), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def boost(count: Column, full: int) -> Column:

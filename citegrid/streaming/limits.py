@@ -55,7 +55,7 @@ def admission(requests: DataFrame, keys: list[str] | None = None, per_hour: int
 
 
 def stream_ip_limit(requests: DataFrame, per_hour: int = 20, per_day: int = 50) -> DataFrame:
-    """The same limit on a stream: state per ip, timed out after a day without requests."""
+    """The same limit on a stream: state per ip, dropped after a day without requests by the log's own time. Rows over an hour late are left out."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -66,11 +66,12 @@ def stream_ip_limit(requests: DataFrame, per_hour: int = 20, per_day: int = 50)
         rows = pd.concat(list(batches)).sort_values(["ts", "request_id"])
         rows["accepted"] = admit([x.timestamp() for x in rows["ts"]], accepted, per_hour, per_day)
         state.update((accepted,))
-        state.setTimeoutDuration(DAY * 1000)
+        last = int(rows["ts"].iloc[-1].timestamp() * 1000)
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + DAY * 1000)
         yield rows[["request_id", "ip", "ts", "accepted"]]
 
-    return requests.groupBy("ip").applyInPandasWithState(
-        step, "request_id bigint, ip string, ts timestamp, accepted boolean", "accepted array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout
+    return requests.withWatermark("ts", "1 hour").groupBy("ip").applyInPandasWithState(
+        step, "request_id bigint, ip string, ts timestamp, accepted boolean", "accepted array<double>", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
