@@ -55,7 +55,9 @@ def mix(df: DataFrame, targets: DataFrame, total: int, seed: int = 7, buckets: i
     last = running.where(F.col("upto") > F.col("rest")).groupBy("source").agg(
         F.min("bucket").alias("edge"), F.min_by(F.col("rest") - (F.col("upto") - F.col("held")), "bucket").alias("room")
     )
-    rule = plan.select("source", "epochs").join(last, "source", "left").select("source", "epochs", F.coalesce("edge", F.lit(buckets)).alias("edge"), "room")
+    # a source whose repeats are used up gives nothing beyond its epochs, not even documents of size 0
+    edge = F.when(F.col("epochs") < F.col("cap"), F.coalesce("edge", F.lit(buckets))).otherwise(F.lit(-1))
+    rule = plan.select("source", "epochs", "cap").join(last, "source", "left").select("source", "epochs", edge.alias("edge"), "room")
     marked = rows.join(rule, "source")
     sure = marked.where(F.col("bucket") != F.col("edge")).select(
         "id", "source", "size", (F.col("epochs") + (F.col("bucket") < F.col("edge")).cast("long")).alias("uses")
