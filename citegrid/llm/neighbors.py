@@ -186,7 +186,8 @@ class Forest:
 
 
 def candidates(forest: Forest, x: np.ndarray, q: np.ndarray, probes: int, keep: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of x in the `probes` leaves that the shared queue ranks first: the best distinct `keep` by single-precision product."""
+    """Rows of x in the `probes` leaves that the shared queue ranks first: the best distinct `keep` by single-precision product. x and q have rows
+    of length 1."""
     mem, sizes = forest.members()
     pri = forest.queue(q)
     probes = min(probes, pri.shape[1])

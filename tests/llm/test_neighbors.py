@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from conftest import rows
 
-from citegrid.llm.neighbors import Forest, Router, candidates, pack, similar_vectors, unpack
+from citegrid.llm.neighbors import Forest, Router, candidates, pack, similar_vectors, unit, unpack
 
 SCHEMA = "cid string, v array<float>, id int, nbrs string"
 
@@ -64,7 +64,7 @@ def test_packing_is_lossless():
 
 
 def test_queue_opens_every_leaf_if_asked():
-    x = np.random.default_rng(0).standard_normal((300, 6)).astype(np.float32)
+    x = unit(np.random.default_rng(0).standard_normal((300, 6))).astype(np.float32)
     f = Forest(x, 2, 32, np.random.default_rng(0))
     c, _ = candidates(f, x, x[:20], 10_000, 300)
     assert all(set(r) >= set(range(300)) for r in c.tolist())
