@@ -210,7 +210,7 @@ def _acyclic(links: DataFrame) -> DataFrame:
 
 def name_pairs(linked: DataFrame) -> DataFrame:
     """(id_a, id_b), id_a < id_b, of one entity."""
-    ids = linked.distinct()
+    ids = cut_lineage(linked.distinct())
     sizes = ids.groupBy("entity").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("entity")
     ids = ids.join(sizes, "entity", "left_semi")
     a, b = ids.select("entity", F.col("id").alias("id_a")), ids.select("entity", F.col("id").alias("id_b"))
