@@ -34,18 +34,22 @@ def day_cap(requests: DataFrame, per_day: int = 200) -> DataFrame:
 
 
 def ip_limit(requests: DataFrame, per_hour: int = 20, per_day: int = 50) -> DataFrame:
-    """requests with `accepted`: whether it passed depends on what passed before, so each ip is folded in order of time. One ip's log is
-    cut by gaps of a day, which empty the windows: only such a run is held together."""
-    gap = F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(W.partitionBy("ip").orderBy("ts", "request_id"))
-    fresh = F.coalesce((gap >= DAY * 1_000_000).cast("int"), F.lit(1))
-    runs = requests.withColumn("_f", fresh).withColumn("_run", F.sum("_f").over(W.partitionBy("ip").orderBy("ts", "request_id")))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "request_id"])
-        pdf["accepted"] = admit([x.timestamp() for x in pdf["ts"]], [], per_hour, per_day)
-        return pdf[["request_id", "ip", "ts", "accepted"]]
-
-    return runs.select("request_id", "ip", "ts", "_run").groupBy("ip", "_run").applyInPandas(fold, "request_id bigint, ip string, ts timestamp, accepted boolean")
+    """requests with `accepted`: whether it passed depends on what passed before, so each ip is folded in order of time. The rows come sorted
+    and in batches; of an ip only its accepted requests of the last day are held. Requests without a time are left out."""
+    ordered = requests.where(F.col("ts").isNotNull()).select("request_id", "ip", "ts").repartition("ip").sortWithinPartitions("ip", "ts", "request_id")
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, accepted = None, []
+        for pdf in batches:
+            seconds = pdf["ts"].astype("datetime64[us]").astype("int64") / 1e6
+            passed = []
+            for ip, t in zip(pdf["ip"], seconds):
+                if ip != at:
+                    at, accepted = ip, []
+                passed += admit([t], accepted, per_hour, per_day)
+            yield pdf.assign(accepted=passed)
+
+    return ordered.mapInPandas(fold, "request_id bigint, ip string, ts timestamp, accepted boolean")
 
 
 def admission(requests: DataFrame, keys: list[str] | None = None, per_hour: int = 20, per_day: int = 50, global_per_day: int = 200) -> DataFrame:
