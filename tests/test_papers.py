@@ -1,5 +1,4 @@
 from conftest import rows
-from pyspark.sql import functions as F
 
 from citegrid.operators import papers as P
 from citegrid.operators.chunking import chunk_papers, count, pack_paragraphs, pack_sentences
@@ -62,7 +61,7 @@ def test_upsert_and_enrichment(spark):
 def test_sentence_packing():
     text = "One two three. Four five six. Seven eight nine."
     got = list(pack_sentences(text, 9, 1))
-    assert got == ["One two three. Four five six.", "Four five six. Seven eight nine."][:1] + ["Four five six. Seven eight nine."] or all(count(x) <= 12 for x in got)
+    assert got == ["One two three. Four five six.", "Four five six. Seven eight nine."]  # the last sentence is taken over
     assert list(pack_sentences("x" * 100, 0, 1))[0] == ""
     assert list(pack_paragraphs("a b c", 10, 100, 5)) == ["a b c"]  # what fits whole is kept however short
     long = "\n\n".join(f"Word {i} is here. It ends there." for i in range(30))
@@ -89,4 +88,3 @@ def test_metadata(spark):
     r = P.metadata(chunks, papers).first()
     assert (r.has_code, r.is_survey, r.citation_tier, r.author_count, len(r.snippet), r.year, r.source) == (True, True, "high", 12, 800, 0, "arxiv")
     assert r.authors == ", ".join(["a"] * 10)
-    assert F is not None
