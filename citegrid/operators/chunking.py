@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .papers import paper_key
 
 WORD = re.compile(r"\w+|[^\w\s]")
 SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[A-Z])")
@@ -78,6 +79,13 @@ def pack_paragraphs(text: str, budget: int, least: int, overlap: int) -> Iterato
         yield "\n\n".join(held)
 
 
+def latest_parsed(parsed: DataFrame) -> DataFrame:
+    """One full text per paper, under the paper's key: of the highest version, the first parsed."""
+    order = [T.id_version(F.lower(T.strip(F.col("paper_id")))).desc(), *(F.col(c).asc_nulls_last() for c in ("parsed_at",) if c in parsed.columns), F.col("paper_id")]
+    keyed = parsed.withColumn("_r", F.row_number().over(W.partitionBy(paper_key(F.col("paper_id"))).orderBy(*order))).where("_r = 1").drop("_r")
+    return keyed.withColumn("paper_id", paper_key(F.col("paper_id")))
+
+
 def sections_of(parsed: DataFrame) -> DataFrame:
     """Sections with their type by heading and position; of sections that begin alike only the first stays."""
     n = F.greatest(F.size("sections"), F.lit(1))
@@ -88,10 +96,11 @@ def sections_of(parsed: DataFrame) -> DataFrame:
 
 
 def chunk_papers(papers: DataFrame, parsed: DataFrame, largest: int = 600, least: int = 100, overlap: int = 50) -> DataFrame:
-    """(chunk_id, paper_id, chunk_type, section_heading, section_index, chunk_index, chunk_text) of papers that are parsed."""
-    p = papers.select(F.col("id").alias("paper_id"), "title", F.coalesce(F.get(F.col("categories"), F.lit(0)), F.col("primary_category")).alias("cat"), "year", "abstract")
-    one = parsed.dropDuplicates(["paper_id"])
-    secs = sections_of(one).where(T.kept_section(F.col("section_type")) & (T.token_count(F.coalesce("text", F.lit(""))) >= least)).join(p, "paper_id")
+    """(chunk_id, paper_id, chunk_type, section_heading, section_index, chunk_index, chunk_text) of papers that are parsed, under the
+    papers' ids. Papers and full texts meet without their versions."""
+    p = papers.select(F.col("id").alias("paper_id"), paper_key(F.col("id")).alias("key"), "title", F.coalesce(F.get(F.col("categories"), F.lit(0)), F.col("primary_category")).alias("cat"), "year", "abstract")
+    one = latest_parsed(parsed)
+    secs = sections_of(one).where(T.kept_section(F.col("section_type")) & (T.token_count(F.coalesce("text", F.lit(""))) >= least)).withColumnRenamed("paper_id", "key").join(p, "key")
     prefix = T.context_prefix(F.col("cat"), F.col("year"), F.col("title"), F.col("heading"))
     secs = secs.withColumn("prefix", prefix).withColumn("budget", F.lit(largest - 5) - T.token_count(prefix))
     fits = T.token_count(F.col("text")) <= F.col("budget")
@@ -122,7 +131,7 @@ def chunk_papers(papers: DataFrame, parsed: DataFrame, largest: int = 600, least
         F.concat("prefix", F.lit("\n"), "body").alias("chunk_text"),
     )
     abstract = F.coalesce(F.when(F.col("abstract") != "", F.col("abstract")), F.col("abstract_text"))
-    heads = one.select("paper_id", "abstract_text").join(p, "paper_id").withColumn("a", abstract).where(T.token_count(F.coalesce("a", F.lit(""))) >= least)
+    heads = one.select(F.col("paper_id").alias("key"), "abstract_text").join(p, "key").withColumn("a", abstract).where(T.token_count(F.coalesce("a", F.lit(""))) >= least)
     heads = heads.select(
         F.concat("paper_id", F.lit("_abstract")).alias("chunk_id"),
         "paper_id",

@@ -157,6 +157,11 @@ def unseen(stored: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return new.join(stored.select(key), key, "left_anti")
 
 
+def paper_key(c: Column) -> Column:
+    """The bare id with its prefix: the form in which current_papers and the graph name a paper."""
+    return F.concat(F.lit("arxiv:"), bare_id(c))
+
+
 def current_papers(papers: DataFrame) -> DataFrame:
     """The collection that the graph and the index are built on: latest versions, keyed by their bare id with its prefix."""
-    return dedup_latest(papers, base=bare_id(F.col("id"))).withColumn("id", F.concat(F.lit("arxiv:"), F.col("base_id"))).drop("base_id")
+    return dedup_latest(papers, base=bare_id(F.col("id"))).withColumn("id", paper_key(F.col("id"))).drop("base_id")

@@ -86,7 +86,7 @@ def chunk_statistics(spark, d):
 
 
 def unparsed_papers(spark, d):
-    return current(spark, d).select("id").join(table(spark, d, "parsed_papers").select(F.col("paper_id").alias("id")), "id", "left_anti")
+    return current(spark, d).select("id").join(table(spark, d, "parsed_papers").select(P.paper_key(F.col("paper_id")).alias("id")), "id", "left_anti")
 
 
 def chunk_type_shares(spark, d):

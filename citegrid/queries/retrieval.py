@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import retrieval as R
 from ..operators.learning import coverage, learning_path
+from ..operators.papers import current_papers, paper_key
 from ..session import table
 from . import graph as G
 from .sql import INDEX
@@ -19,6 +20,11 @@ def index(spark: SparkSession, d: str) -> DataFrame:
     return R.index_of(table(spark, d, "chunks"))
 
 
+def keyed_index(spark: SparkSession, d: str) -> DataFrame:
+    """The index with papers named as in current_papers and the graph."""
+    return index(spark, d).withColumn("paper_id", paper_key(F.col("paper_id")))
+
+
 def vectors(spark: SparkSession, d: str, n: int, last: bool = False) -> list[list[float]]:
     """The first n usable vectors of sections by chunk_id, each id once."""
     c = table(spark, d, "chunks").where((F.size("embedding") == DIM) & F.col("is_fulltext"))
@@ -81,10 +87,9 @@ def expand_chunks(spark, d):
 
 
 def search_papers(spark, d):
-    from ..operators.papers import current_papers
     from ..plans.search import Engine, SearchParams
 
-    engine = Engine(index(spark, d), current_papers(table(spark, d, "papers")))
+    engine = Engine(keyed_index(spark, d), current_papers(table(spark, d, "papers")))
     return engine.search(SearchParams(TEXT, top_k=5, use_hyde=False), vectors(spark, d, 1)[0])
 
 
@@ -97,7 +102,7 @@ def best_chunks(spark, d):
 
 def path_steps(spark, d):
     a, b = vectors(spark, d, 1)[0], vectors(spark, d, 1, last=True)[0]
-    return learning_path(index(spark, d), G.graph(spark, d), (a, "stable gradient"), (b, "sparse encoder"), 4)
+    return learning_path(keyed_index(spark, d), G.graph(spark, d), (a, "stable gradient"), (b, "sparse encoder"), 4)
 
 
 def path_coverage(spark, d):
@@ -105,10 +110,9 @@ def path_coverage(spark, d):
 
 
 def chat_events(spark, d):
-    from ..operators.papers import current_papers
     from ..plans.search import ChatParams, Engine
 
-    engine = Engine(index(spark, d), current_papers(table(spark, d, "papers")))
+    engine = Engine(keyed_index(spark, d), current_papers(table(spark, d, "papers")))
     return spark.createDataFrame(list(engine.chat(ChatParams("stable gradient for entity linking"))), "seq int, type string, payload string")
 
 

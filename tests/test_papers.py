@@ -1,5 +1,6 @@
 from conftest import rows
 
+from citegrid import catalog
 from citegrid.operators import papers as P
 from citegrid.operators.chunking import chunk_papers, count, pack_paragraphs, pack_sentences
 
@@ -88,3 +89,28 @@ def test_metadata(spark):
     r = P.metadata(chunks, papers).first()
     assert (r.has_code, r.is_survey, r.citation_tier, r.author_count, len(r.snippet), r.year, r.source) == (True, True, "high", 12, 800, 0, "arxiv")
     assert r.authors == ", ".join(["a"] * 10)
+
+
+def test_full_texts_under_versions(spark):
+    papers = raw(spark, ("arxiv:1", "T", LONG, [], 2001, "p", ["cs.AI"], None, 0, None), ("arxiv:2v3", "T", LONG, [], 2001, "p", ["cs.AI"], None, 0, None))
+    texts = [("arxiv:1v2", "old "), ("arxiv:1v10", "new "), ("ARXIV:1", "bare "), ("arxiv:2", "two ")]
+    parsed = spark.createDataFrame([(i, None, [("Method", w * 120)]) for i, w in texts], "paper_id string, abstract_text string, sections array<struct<heading:string,text:string>>")
+    got = {r.chunk_id: r.chunk_text.split("\n")[-1][:4] for r in chunk_papers(papers, parsed).collect()}
+    assert got == {"arxiv:1_s0_c0": "new ", "arxiv:2v3_s0_c0": "two "}  # one text per paper, of the highest version
+
+
+def test_queries_meet_versions(spark, tmp_path):
+    papers = raw(spark, *[(i, "T", LONG, [], 2001, "p", ["cs.AI"], None, 0, None) for i in ("arxiv:1v2", "arxiv:2", "arxiv:3")])
+    papers = papers.selectExpr("*", "0 as citation_count", "if(id = 'arxiv:1v2', array('arxiv:2'), array()) as references", "cast(array() as array<string>) as cited_by")
+    papers.write.parquet(f"{tmp_path}/papers.parquet")
+    parsed = [("arxiv:1v2", None, [("Method", "word " * 120)]), ("arxiv:2v1", None, [("Method", "word " * 120)])]
+    spark.createDataFrame(parsed, "paper_id string, abstract_text string, sections array<struct<heading:string,text:string>>").write.parquet(f"{tmp_path}/parsed_papers.parquet")
+    vec = lambda x: [float(x), 1.0] + [0.0] * 94
+    recs = [("a", "arxiv:1v2", vec(9)), ("b", "arxiv:1", vec(8)), ("z", "arxiv:2v1", vec(-9))]
+    chunks = spark.createDataFrame([(*r, "stable gradient", True, 1) for r in recs], "chunk_id string, paper_id string, embedding array<float>, chunk_text string, is_fulltext boolean, citation_count int")
+    chunks.selectExpr("*", "timestamp'2020-01-01' as created_at", "2001 as year", "'cs.AI' as primary_category", "'full' as chunk_type").write.parquet(f"{tmp_path}/chunks.parquet")
+    run = lambda q: catalog.QUERIES[q](spark, str(tmp_path))
+    assert rows(run("unparsed_papers")) == [("arxiv:3",)]
+    assert rows(run("chunk_sections"), "paper_id") == [("arxiv:1",), ("arxiv:2",)] and rows(run("chunk_statistics"), "papers") == [(2,)]
+    assert rows(run("search_papers"), "paper_id", "n_chunks") == [("arxiv:1", 2), ("arxiv:2", 1)]
+    assert rows(run("learning_path"), "paper_id", "has_citation_link") == [("arxiv:1", True), ("arxiv:2", False)]
