@@ -28,11 +28,23 @@ def sentence_list(s: str) -> list[str]:
     return [x.strip() for x in SENTENCE.split(re.sub(r"\n+", " ", s)) if x.strip()]
 
 
+def cut_tokens(s: str, budget: int) -> list[str]:
+    """The string in pieces of `budget` tokens, the last of at most as many; nothing but white space between them is lost."""
+    ends = [m.end() for m in WORD.finditer(s)]
+    at = [0, *ends[budget - 1 : -1 : budget], len(s)]
+    return [s[a:b].strip() for a, b in zip(at, at[1:])]
+
+
 def pack_sentences(paragraph: str, budget: int, least: int) -> Iterator[str]:
-    """Sentences up to the budget, each piece beginning with the last sentence of the one before; a sentence that alone is over the budget is
-    cut to four characters a token; a last piece under `least` tokens is dropped."""
+    """Sentences up to the budget, each piece beginning with the last sentence of the one before; a sentence that begins a piece and is over
+    the budget is cut into pieces of it, what is left begins the next; a last piece under `least` tokens takes over more of the one before
+    as far as the budget allows. Without a budget an empty piece comes first, then pieces of the least size."""
     held: list[str] = []
+    before: list[str] = []
     size = 0
+    if budget < 1:
+        yield ""
+        budget = max(least, 1)
     every = sentence_list(paragraph)
     if not every:
         yield paragraph[: budget * 4]
@@ -43,16 +55,22 @@ def pack_sentences(paragraph: str, budget: int, least: int) -> Iterator[str]:
             size += n
         elif held:
             yield " ".join(held)
-            held = [held[-1], s]
+            before, held = held[:-1], [held[-1], s]
             size = count(held[0]) + n
         else:
-            yield s[: budget * 4]
-    if held and count(" ".join(held)) >= least:
+            *pieces, rest = cut_tokens(s, budget)
+            yield from pieces
+            before, held, size = [], [rest], count(rest)
+    while before and size < least and size + count(before[-1]) <= budget:
+        size += count(before[-1])
+        held.insert(0, before.pop())
+    if held:
         yield " ".join(held)
 
 
 def pack_paragraphs(text: str, budget: int, least: int, overlap: int) -> Iterator[str]:
-    """Paragraphs up to the budget; a new piece takes over the last sentence if that is short; too long ones go by sentences."""
+    """Paragraphs up to the budget; a new piece takes over the last sentence if that is short; too long ones go by sentences.
+    A last piece is kept however short."""
     if count(text) <= budget:
         yield text
         return
@@ -75,7 +93,7 @@ def pack_paragraphs(text: str, budget: int, least: int, overlap: int) -> Iterato
         tail = (sentence_list(held[-1]) or [""])[-1] if held else ""
         keep = bool(tail) and count(tail) < 2 * overlap
         held, size = ([tail, p], count(tail) + n) if keep else ([p], n)
-    if held and count("\n\n".join(held)) >= least:
+    if held:
         yield "\n\n".join(held)
 
 

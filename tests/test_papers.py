@@ -114,3 +114,15 @@ def test_queries_meet_versions(spark, tmp_path):
     assert rows(run("chunk_sections"), "paper_id") == [("arxiv:1",), ("arxiv:2",)] and rows(run("chunk_statistics"), "papers") == [(2,)]
     assert rows(run("search_papers"), "paper_id", "n_chunks") == [("arxiv:1", 2), ("arxiv:2", 1)]
     assert rows(run("learning_path"), "paper_id", "has_citation_link") == [("arxiv:1", True), ("arxiv:2", False)]
+
+
+def test_no_text_is_lost():
+    words = [f"w{i}" for i in range(1000)]
+    parts = list(pack_sentences(" ".join(words), 90, 50))
+    assert " ".join(parts).split() == words and all(count(p) <= 90 for p in parts)
+    tail = list(pack_sentences("A b c d. E f g h. I j.", 10, 8))
+    assert tail == ["A b c d. E f g h.", "E f g h. I j."]
+    assert list(pack_sentences("A b. C d. E f. G h.", 10, 8)) == ["A b. C d. E f.", "C d. E f. G h."]  # a short last piece takes over more
+    text = "\n\n".join([" ".join(words[:95]), "the end"])
+    assert " ".join(pack_paragraphs(text, 90, 50, 5)).split() == [*words[:95], "the", "end"]
+    assert " ".join(pack_sentences(" ".join(words), -3, 50)).split() == words
