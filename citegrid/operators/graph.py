@@ -17,10 +17,12 @@ from .orphans import bare_id
 
 
 class Graph:
-    """papers: one row per id (operators.papers.current_papers)."""
+    """papers: one row per id (operators.papers.current_papers). Of a paper the first `authors` and `categories` enter the graph, all of
+    them with None."""
 
-    def __init__(self, papers: DataFrame):
+    def __init__(self, papers: DataFrame, authors: int | None = 20, categories: int | None = 10):
         self.records = papers
+        first = lambda f, n: F.col(f) if n is None else F.slice(f, 1, n)
         ref = lambda c: F.concat(F.lit("arxiv:"), bare_id(c))
         named = lambda f: F.explode(F.array_distinct(F.transform(F.filter(F.col(f), lambda x: x.rlike(r"\S")), ref)))
         out = papers.select(F.col("id").alias("src"), named("references").alias("dst"))
@@ -31,9 +33,9 @@ class Graph:
         ends = self.cites.select(F.col("src").alias("id")).unionByName(self.cites.select(F.col("dst").alias("id"))).distinct()
         self.known = known
         self.papers = ends.join(known, "id", "full")
-        names = F.explode(F.array_distinct(F.filter(F.transform(F.slice("authors", 1, 20), T.strip), lambda x: x.isNotNull() & (x != ""))))
+        names = F.explode(F.array_distinct(F.filter(F.transform(first("authors", authors), T.strip), lambda x: x.isNotNull() & (x != ""))))
         self.authored = papers.select(F.col("id").alias("paper"), names.alias("name"))
-        self.in_category = papers.select(F.col("id").alias("paper"), F.explode(F.array_distinct(F.filter(F.slice("categories", 1, 10), lambda x: x.isNotNull()))).alias("category"))
+        self.in_category = papers.select(F.col("id").alias("paper"), F.explode(F.array_distinct(F.filter(first("categories", categories), lambda x: x.isNotNull()))).alias("category"))
 
     def coauthored(self) -> DataFrame:
         a, b = self.authored.select("paper", F.col("name").alias("a")), self.authored.select("paper", F.col("name").alias("b"))

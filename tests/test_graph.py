@@ -65,3 +65,11 @@ def test_coauthors_and_context(spark):
 def test_empty_graph(spark, field):
     g = Graph(current_papers(spark.createDataFrame([], SCHEMA)))
     assert g.trending(field).count() == 0 and g.path("a", "b") == [] and g.lineage("a").count() == 0 and g.gaps("cs.AI").count() == 0
+
+
+def test_all_authors_on_request(spark):
+    names = [f"n{i:02d}" for i in range(25)]
+    df = current_papers(spark.createDataFrame([("arxiv:1", names)], "id string, authors array<string>").selectExpr("*", "'t' as title", "2000 as year", "0 as citation_count", "'cs.AI' as primary_category", "transform(authors, x -> concat('c', x)) as categories", "cast(array() as array<string>) as references", "cast(array() as array<string>) as cited_by", "timestamp'2020-01-01' as ingested_at"))
+    g, every = Graph(df), Graph(df, authors=None, categories=None)
+    assert (g.authored.count(), g.in_category.count(), g.coauthored().count()) == (20, 10, 190)
+    assert (every.authored.count(), every.in_category.count(), every.coauthored().count()) == (25, 25, 300)
