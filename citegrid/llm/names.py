@@ -127,8 +127,8 @@ def _chase(links: DataFrame, rounds: int = 3) -> DataFrame:
 def link_names(df: DataFrame, short_forms: DataFrame) -> DataFrame:
     """(id, entity): for df(id bigint, name, affiliation, freq), rows with one entity are spellings of one person or organisation.
 
-    short_forms: (given_name, short_form), a short form may stand for several. Null ids and names, and names without a letter, are
-    left out; null frequencies count as 0, null affiliations as not known. Repeated rows give equal rows. Empty tables: no rows.
+    short_forms: (given_name, short_form), a short form may stand for several. Null ids are left out; an id of which no name
+    can be read (null, no letter, nothing but titles) is an entity of its own; null frequencies count as 0, null affiliations as not known. Repeated rows give equal rows. Empty tables: no rows.
     Further columns, whatever their names, are not read.
     """
     # every table that several branches read is written once: the plans stay small
@@ -198,7 +198,9 @@ def link_names(df: DataFrame, short_forms: DataFrame) -> DataFrame:
     head = orphan.where(there).groupBy("last", "initial", "acr").agg(F.max_by("node", F.struct(F.length("rest"), "freq", "node")).alias("to"))
     joined = orphan.where(there).join(head, ["last", "initial", "acr"]).where(F.col("node") != F.col("to")).select("node", "to")
     every = roots.unionByName(chosen).unionByName(joined)
-    return forms.join(every, "node", "left").select("id", F.coalesce("to", "node").alias("entity"))
+    known = forms.join(every, "node", "left").select("id", F.coalesce("to", "node").alias("entity"))
+    rest = df.select(F.col("id").cast("bigint").alias("id")).where(F.col("id").isNotNull()).join(forms.select("id"), "id", "left_anti")
+    return known.unionByName(rest.select("id", F.xxhash64(F.lit("unread"), "id").alias("entity")))
 
 
 def _acyclic(links: DataFrame) -> DataFrame:

@@ -81,7 +81,7 @@ def read_name(name: str) -> Name | None:
             last, given = t[:1], t[1:]  # Last FM
         else:
             last, given = t[-1:], t[:-1]
-    surname = re.sub(r"[^a-z]", "", "".join(last).lower())
+    surname = re.sub(r"[\W\d_]", "", "".join(last).lower())
     tokens: list[str] = []
     for t in given:
         for x in re.split(r"[.\s]+", t):

@@ -56,3 +56,12 @@ def test_affiliations():
     assert same("University of Aston, Birmley", "UA Birmley") == 1 and same("UNIVERSITY OF ASTTON", "University of Aston") == 1
     assert same("University of Aston", "Institute for Bean Studies") == -1 and same(None, "x") == 0
     assert edits("abcd", "abdc") == 1 and edits("abcd", "wxyz") == 3
+
+
+def test_other_scripts_and_unread_names(spark):
+    people = [("Иван Петров", None, 5), ("Петров, Иван", None, 1), ("Νίκος Παππάς", None, 1), ("王小明", None, 1), ("Bo Sørby", None, 3), ("Dr.", None, 1), ("†", None, 1), (None, None, None)]
+    assert pairs(spark, people) == [(0, 1)]
+    df = spark.createDataFrame([(i, n, a, f, 0, 0) for i, (n, a, f) in enumerate(people)], SCHEMA)
+    got = rows(link_names(df, spark.createDataFrame([], FORMS)))
+    assert [i for i, _ in got] == list(range(8)) and len({e for _, e in got}) == 7
+    assert read_name("Bo Sørby").last == "sørby" and read_name("王小明").last == "王小明"
