@@ -116,12 +116,14 @@ def _best(pairs: DataFrame) -> DataFrame:
     return best
 
 
-def _chase(links: DataFrame, rounds: int = 3) -> DataFrame:
-    """node -> root, following attachments; each goes to a higher rank, so there are no circles."""
-    for _ in range(rounds):
+def _chase(links: DataFrame) -> DataFrame:
+    """node -> root, following attachments to their ends; there are no circles. Each round doubles the steps taken."""
+    while True:
         nxt = links.select(F.col("node").alias("to"), F.col("to").alias("then"))
-        links = cut_lineage(links.join(nxt, "to", "left").select("node", F.coalesce("then", "to").alias("to")))
-    return links
+        step = cut_lineage(links.join(nxt, "to", "left").select("node", F.coalesce("then", "to").alias("to"), F.col("then").isNotNull().alias("moved")))
+        links = step.select("node", "to")
+        if step.where("moved").isEmpty():
+            return links
 
 
 def link_names(df: DataFrame, short_forms: DataFrame) -> DataFrame:
@@ -171,7 +173,7 @@ def link_names(df: DataFrame, short_forms: DataFrame) -> DataFrame:
     pairs = pairs.where(rank(F.col("c")) > rank(F.col("v")))
     short = meet(people.join(shorts, "given").withColumn("given", F.col("long")), people, ["last", "given"], "short").where(F.col("v.given") != F.col("c.given"))
     short_side = _best(pairs.unionByName(short))
-    roots = _chase(cut_lineage(_acyclic(cut_lineage(short_side))))
+    roots = _chase(cut_lineage(_acyclic(cut_lineage(short_side), nodes.select("node", rank(s).alias("rank")))))
 
     # whole persons: affiliation and mass of all their full forms
     owner = nodes.where(F.col("given") != "").join(roots, "node", "left").withColumn("root", F.coalesce("to", "node"))
@@ -203,11 +205,20 @@ def link_names(df: DataFrame, short_forms: DataFrame) -> DataFrame:
     return known.unionByName(rest.select("id", F.xxhash64(F.lit("unread"), "id").alias("entity")))
 
 
-def _acyclic(links: DataFrame) -> DataFrame:
-    """Short forms may outrank their long form: of two forms attached to each other the smaller attachment goes."""
-    back = links.select(F.col("to").alias("node"), F.col("node").alias("to"), F.lit(True).alias("mutual"))
-    x = links.join(back, ["node", "to"], "left")
-    return x.where(F.col("mutual").isNull() | (F.col("node") < F.col("to"))).select("node", "to")
+def _acyclic(links: DataFrame, ranks: DataFrame) -> DataFrame:
+    """Short forms may outrank their long form: of forms attached in a circle the one of the highest rank, ranks(node, rank), stays free.
+    A form is on a circle and its highest if it is the highest of those that it reaches."""
+    top = ranks.select(F.col("node").alias("to"), F.struct("rank", "node").alias("best"))
+    walk = links.join(top, "to").select("node", "to", "best")
+    while True:
+        nxt = walk.select(F.col("node").alias("to"), F.col("to").alias("then"), F.col("best").alias("more"))
+        grew = F.coalesce(F.col("more") > F.col("best"), F.lit(False))
+        step = walk.join(nxt, "to", "left").select("node", F.coalesce("then", "to").alias("to"), F.when(grew, F.col("more")).otherwise(F.col("best")).alias("best"), grew.alias("grew"))
+        step = cut_lineage(step)
+        walk = step.drop("grew")
+        if step.where("grew").isEmpty():
+            break
+    return links.join(walk.where(F.col("best.node") == F.col("node")).select("node"), "node", "left_anti").select("node", "to")
 
 
 def name_pairs(linked: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 import pytest
 from conftest import rows
 
-from citegrid.llm.names import link_names, name_pairs
+from citegrid.llm.names import _acyclic, _chase, link_names, name_pairs
 from citegrid.llm.spelling import edits, read_affiliation, read_name, same_affiliation
 
 SCHEMA = "id bigint, name string, affiliation string, freq bigint, entity int, node int"
@@ -65,3 +65,13 @@ def test_other_scripts_and_unread_names(spark):
     got = rows(link_names(df, spark.createDataFrame([], FORMS)))
     assert [i for i, _ in got] == list(range(8)) and len({e for _, e in got}) == 7
     assert read_name("Bo Sørby").last == "sørby" and read_name("王小明").last == "王小明"
+
+
+def test_long_chains_and_circles_end_at_one_root(spark):
+    chain = [(i, i + 1) for i in range(30)]
+    circle = [(100, 103), (103, 101), (101, 102), (102, 100), (99, 101)]
+    mutual = [(200, 201), (201, 200)]
+    links = spark.createDataFrame(chain + circle + mutual, "node bigint, to bigint")
+    ranks = spark.createDataFrame([(i,) for i in [*range(31), *range(99, 104), 200, 201]], "node bigint").selectExpr("node", "if(node = 101, 500, node) as rank")
+    got = rows(_chase(_acyclic(links, ranks)))
+    assert got == [(i, 30) for i in range(30)] + [(99, 101), (100, 101), (102, 101), (103, 101), (200, 201)]
