@@ -114,12 +114,34 @@ class Graph:
         works = top.groupBy(F.col("name").alias("item")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "id"))), lambda x: x["id"]), ",").alias("detail"))
         return first(refs, "reference", most).unionByName(first(citers, "citer", most)).unionByName(first(works, "author", most))
 
-    def citations(self, paper: str) -> DataFrame:
-        """(direction, id, title, year): all references and citers that are known."""
+    def contexts(self, ids: DataFrame, refs: int = 3, citers: int = 3, authors: int = 2, works: int = 2, width: int = 50) -> DataFrame:
+        """(id, part, pos, text) for each of a few ids: titles of references and citers, and of each author's other cited papers."""
+        titles = self.titled().select(F.col("id").alias("other"), "title", "citation_count")
+        a = ids.select(F.col("id").alias("src"))
+        out = self.cites.join(a, "src").select(F.col("src").alias("id"), F.col("dst").alias("other"), F.lit("reference").alias("part"))
+        back = self.cites.join(a.withColumnRenamed("src", "dst"), "dst").select(F.col("dst").alias("id"), F.col("src").alias("other"), F.lit("citer").alias("part"))
+        pos = F.row_number().over(W.partitionBy("id", "part").orderBy("other"))
+        most = F.when(F.col("part") == "reference", refs).otherwise(citers)
+        linked = out.unionByName(back).join(titles, "other").withColumn("pos", pos).where(F.col("pos") <= most).select("id", "part", "pos", F.col("title").alias("text"))
+        own = self.authored.join(ids.select(F.col("id").alias("paper")), "paper").select(F.col("paper").alias("id"), "name")
+        other = own.join(self.authored, "name").where(F.col("paper") != F.col("id")).withColumnRenamed("paper", "other").join(titles.where(F.col("citation_count") > 0), "other")
+        best = W.partitionBy("id", "name").orderBy(F.desc("citation_count"), "other")
+        top = other.withColumn("r", F.row_number().over(best)).where(F.col("r") <= works)
+        said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "title"))), lambda x: T.clip(x["title"], width)), ", ")
+        named = top.groupBy("id", "name").agg(said.alias("said"))
+        rank = F.row_number().over(W.partitionBy("id").orderBy("name"))
+        people = named.withColumn("pos", rank).where(F.col("pos") <= authors).select("id", F.lit("author").alias("part"), "pos", F.concat("name", F.lit(": "), "said").alias("text"))
+        return linked.unionByName(people)
+
+    def citations(self, paper: str, most: int | None = None) -> DataFrame:
+        """(direction, id, title, year): references and citers that are known, all or the first `most` of each direction by id."""
         one = F.lit(paper)
         out = self.cites.where(F.col("src") == one).select(F.lit("reference").alias("direction"), F.col("dst").alias("id"))
         back = self.cites.where(F.col("dst") == one).select(F.lit("citer").alias("direction"), F.col("src").alias("id"))
-        return out.unionByName(back).join(self.papers.select("id", "title", "year"), "id").select("direction", "id", "title", "year")
+        both = [x.join(self.papers.select("id", "title", "year"), "id").select("direction", "id", "title", "year") for x in (out, back)]
+        if most is not None:
+            both = [x.orderBy("id").limit(most) for x in both]
+        return both[0].unionByName(both[1])
 
     def lineage(self, paper: str, depth: int = 3, most: int = 15, forward: bool = True) -> DataFrame:
         """(id, title, year, citation_count, depth): what is reached along 1 to `depth` citations, no citation used twice. A paper may come at

@@ -8,9 +8,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import retrieval as R
 from ..operators.graph import Graph
 from ..operators.learning import learning_path
+from ..session import bounded
 from . import context as C
 from .providers import Offline, Provider
 
@@ -49,37 +51,79 @@ class ChatParams:
 
 
 class Engine:
-    """index: chunks, one row per chunk_id; papers: one row per id."""
+    """index: what a search reads; papers: one row per id (operators.papers.current_papers). Without a graph, enrichment is left out."""
 
-    def __init__(self, index: DataFrame, papers: DataFrame, provider: Provider | None = None):
+    def __init__(self, index: R.Index, papers: DataFrame, provider: Provider | None = None, graph: Graph | None = None, use_graph: bool = True):
         self.index, self.papers, self.provider = index, papers, provider or Offline()
-        self.graph = Graph(papers)
+        self.graph = (graph or Graph(papers)) if use_graph else None
 
     def vector(self, query: str, use_hyde: bool) -> list[float]:
         text = self.provider.expand(query) if use_hyde else None
         return R.blend(self.provider.embed(query), self.provider.embed(text) if text else None)
 
     def hits(self, vector: list[float], p: SearchParams, most: int = 80) -> DataFrame:
+        """At most `most` hits with their rank, as a local table: what follows reads them several times."""
         cond = R.filters(p.year_min, p.year_max, p.categories, p.chunk_type)
-        top = R.ranked(R.hybrid_topk(self.index, vector, p.query, R.over_fetch(p.top_k, p.use_rerank, most), p.alpha, cond))
+        n = R.over_fetch(p.top_k, p.use_rerank, most)
+        top = R.ranked(bounded(R.hybrid_topk(self.index, vector, p.query, n, p.alpha, cond), n))
         if not p.use_rerank:
-            return top.withColumn("rerank_score", F.lit(None).cast("double"))
-        again = R.rerank(top, self.index, p.query)
+            return bounded(top.withColumn("rerank_score", F.lit(None).cast("double")), n)
+        again = R.rerank(bounded(top, n), self.index, p.query, self.papers)
         order = R.W.partitionBy().orderBy(F.desc("rerank_score"), "rank")
-        return again.withColumn("rank", F.row_number().over(order))  # at most a few dozen rows
+        return bounded(again.withColumn("rank", F.row_number().over(order)), n)
 
     def search(self, p: SearchParams, vector: list[float] | None = None, most: int = 80) -> DataFrame:
-        """(paper_id, best_score, rerank_score, chunks, n_chunks, expanded), best first."""
+        """Papers, best first: scores, their chunks and how many siblings were added, and the record: of the first chunk's entry or of the
+        paper's own row."""
         vector = vector or self.vector(p.query, p.use_hyde)
         hits = self.hits(vector, p, most)
-        papers = R.group_papers(hits, p.top_k)
+        papers = bounded(R.group_papers(hits, p.top_k), p.top_k)
         more = R.expand(papers, hits, self.index, vector).groupBy("paper_id").agg(F.count("*").alias("expanded"))
-        got = papers.join(more, "paper_id", "left").withColumn("expanded", F.coalesce("expanded", F.lit(0)))
-        return got.orderBy(F.desc("best_score"), "first_rank")
+        got = R.with_metadata(papers, self.index).join(more, "paper_id", "left").withColumn("expanded", F.coalesce("expanded", F.lit(0)))
+        return self._recorded(got).orderBy(F.desc("best_score"), "first_rank")
+
+    def _recorded(self, got: DataFrame) -> DataFrame:
+        few = [r["paper_id"] for r in got.select("paper_id").collect()]
+        own = self.papers.where(F.col("id").isin(*few)).select(F.col("id").alias("paper_id"), *[F.col(c).alias(f"_{c}") for c in ("title", "year", "abstract", "authors", "categories", "pdf_url", "citation_count") if c in self.papers.columns])
+        j = got.join(own, "paper_id", "left")
+        for c in ("abstract", "authors", "categories", "pdf_url", "citation_count"):
+            if f"_{c}" not in j.columns:
+                j = j.withColumn(f"_{c}", F.lit(None).cast("array<string>" if c in ("authors", "categories") else "int" if c == "citation_count" else "string"))
+        cited = F.coalesce("_citation_count", "citation_count", F.lit(0))
+        title = F.coalesce("title", "_title", F.lit(""))
+        return j.select(
+            *("paper_id", "best_score", "rerank_score", "first_rank", "chunks", "n_chunks", "expanded"),
+            title.alias("title"),
+            F.coalesce("year", "_year").cast("int").alias("year"),
+            F.substring(F.coalesce("_abstract", F.lit("")), 1, 1000).alias("abstract"),
+            F.concat_ws(", ", F.slice("_authors", 1, 10)).alias("authors"),
+            F.concat_ws(",", F.slice("_categories", 1, 10)).alias("categories"),
+            F.coalesce("_pdf_url", F.lit("")).alias("pdf_url"),
+            T.field_of(F.col("primary_category")).alias("field"),
+            T.citation_tier(cited).alias("citation_tier"),
+            F.coalesce(T.has_code(F.col("_abstract")), F.lit(False)).alias("has_code"),
+            T.is_survey(title).alias("is_survey"),
+        )
 
     def enrichment(self, ids: DataFrame) -> dict[str, DataFrame]:
-        """Related papers, common ancestors and experts around the result."""
-        return {"related": self.graph.connected(ids, 10), "foundational": self.graph.common_ancestors(ids, 5), "experts": self.graph.expertise(ids, 10)}
+        """Related papers, common ancestors, experts and single contexts around the result; nothing without a graph."""
+        if self.graph is None:
+            return {}
+        return {"related": self.graph.connected(ids, 10), "foundational": self.graph.common_ancestors(ids, 5), "experts": self.graph.expertise(ids, 10), "contexts": self.graph.contexts(ids)}
+
+    def context(self, papers: DataFrame, hits: DataFrame) -> str:
+        """Text for the answer: the first five papers, with the graph around them where there is one."""
+        basic = C.basic_context(papers, hits, self.index, self.papers)
+        if self.graph is None:
+            return "\n\n".join(r["text"] for r in basic.orderBy("pos").collect())  # five rows
+        few = [(r["paper_id"],) for r in papers.select("paper_id").collect()]  # top_k rows
+        if not few:
+            return ""
+        ids = papers.sparkSession.createDataFrame(few, "id string")
+        firsts = C.first_papers(papers, hits, self.index, self.papers)
+        rows = C.enriched_context(firsts, ids, self.graph).collect()  # at most 18 rows
+        order = ["paper", "related", "foundational", "expert"]
+        return "\n\n".join(r["text"] for r in sorted(rows, key=lambda r: (order.index(r["part"]), r["pos"])))
 
     def chat(self, p: ChatParams) -> Iterator[tuple[int, str, str]]:
         """(seq, type, payload): the sources, then the answer in tokens, then done."""
@@ -95,32 +139,39 @@ class Engine:
         text = lambda df: (df.first() or [""])[0] or ""
         titles = lambda df: "\n".join(r["title"] or "" for r in df.collect())  # noqa: E731  top-k reports
 
+        experts = lambda field: "\n".join(f"{r['name']}: {r['citations']}" for r in self.graph.top_authors(field).collect())  # noqa: E731  20 rows
+        missing = "There is no citation graph."
+
         def search(p: ChatParams, params: dict):
             query = self.provider.rewrite(p.message, p.history) if p.history else p.message
             s = SearchParams(query, p.top_k, p.use_hyde, p.use_rerank, p.alpha, p.year_min, p.year_max)
             vector = self.vector(query, p.use_hyde)
             hits = self.hits(vector, s, 100)
-            papers = R.group_papers(hits, p.top_k)
-            rows = C.basic_context(papers, hits, self.index, self.papers).orderBy("pos").collect()
-            return "\n\n".join(r["text"] for r in rows), [r["paper_id"] for r in papers.collect()]
+            papers = bounded(R.group_papers(hits, p.top_k), p.top_k)
+            return self.context(papers, hits), [r["paper_id"] for r in papers.orderBy(F.desc("best_score"), "first_rank").collect()]
 
         def graph(p: ChatParams, params: dict):
+            if self.graph is None:
+                return missing, []
             if params.get("author"):
                 got = "\n".join(f"{r['collaborator']}: {r['papers_together']}" for r in self.graph.network(params["author"]).collect())
+            elif params.get("field"):
+                got = experts(params["field"])
             elif params.get("paper"):
-                got = titles(self.graph.citations(params["paper"]))
+                got = titles(self.graph.citations(params["paper"], 10))
             else:
                 got = ""
-            got = got or "\n".join(f"{r['name']}: {r['citations']}" for r in self.graph.top_authors(params.get("field") or "Computer Science").collect())
-            return got, []
+            return got or experts("Computer Science"), []
 
         def path(p: ChatParams, params: dict):
             if not params.get("start") or not params.get("end"):
                 return "Both topics are needed.", []
             a, b = params["start"], params["end"]
-            steps = learning_path(self.index, self.graph, (self.provider.embed(a), a), (self.provider.embed(b), b), 4)
+            if self.graph is None:
+                return missing, []
+            steps = learning_path(self.index, self.graph, (self.provider.embed(a), a), (self.provider.embed(b), b), 4, self.provider.explain)
             rows = steps.orderBy("step").collect()
-            return "\n".join(r["paper_id"] for r in rows), [r["paper_id"] for r in rows]
+            return "\n".join(f"{r['step'] + 1}. {r['title'] or r['paper_id']} ({r['year'] or ''}): {r['why_read']}" for r in rows), [r["paper_id"] for r in rows]
 
         def recent(p: ChatParams, params: dict):
             return "\n".join(m["content"][:500] for m in p.history[-4:]), []
@@ -128,8 +179,8 @@ class Engine:
         return {
             "SEARCH": search,
             "GRAPH": graph,
-            "TRENDING": lambda p, q: (text(C.trending_text(self.graph.trending())) or "No trends were found.", []),
-            "GAPS": lambda p, q: (titles(self.graph.gaps(q.get("category") or "cs.AI")) or "No gaps were found.", []),
+            "TRENDING": lambda p, q: ((text(C.trending_text(self.graph.trending())) if self.graph else "") or "No trends were found.", []),
+            "GAPS": lambda p, q: ((text(C.gaps_text(self.graph.gaps(q.get("category") or "cs.AI"))) if self.graph else "") or "No gaps were found.", []),
             "PATH": path,
             "FOLLOWUP": recent,
             "COMPARE": recent,

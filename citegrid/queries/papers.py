@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..functions.fixed import FILLER_PHRASES, KEYWORD_STOPWORDS, METHOD_TERMS, section_keys
 from ..operators import chunking as C
 from ..operators import papers as P
-from ..operators.retrieval import index_of
+from ..operators.retrieval import last_written
 from ..session import table
 from ..sources import records as S
 from ..sources.categories import preset, preset_table
@@ -50,7 +50,7 @@ def dedup_first(spark, d):
 
 
 def metadata_projection(spark, d):
-    return P.metadata(index_of(table(spark, d, "chunks")), P.first_wins(papers(spark, d), "id", "ingested_at"))
+    return P.metadata(last_written(table(spark, d, "chunks")), P.first_wins(papers(spark, d), "id", "ingested_at"))
 
 
 def clean_abstract(spark, d):
@@ -90,12 +90,12 @@ def unparsed_papers(spark, d):
 
 
 def chunk_type_shares(spark, d):
-    n = index_of(table(spark, d, "chunks")).groupBy("chunk_type").agg(F.count("*").alias("n"))
+    n = last_written(table(spark, d, "chunks")).groupBy("chunk_type").agg(F.count("*").alias("n"))
     return n.withColumn("percent", F.bround(100 * F.col("n") / F.sum("n").over(W.partitionBy()), 2))  # one row per type
 
 
 def upsert_chunks(spark, d):
-    c = index_of(table(spark, d, "chunks"))
+    c = last_written(table(spark, d, "chunks"))
     return upsert_report(c, c.where(~F.col("is_fulltext")))
 
 

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import retrieval as R
 from ..operators.learning import coverage, learning_path
 from ..operators.papers import current_papers, paper_key
-from ..session import table
+from ..operators.store import index_stats as stats_of
+from ..operators.store import storage_bytes, stored_index
+from ..plans.providers import Offline
+from ..session import bounded, table
 from . import graph as G
 from .sql import INDEX
 
@@ -16,21 +21,22 @@ TEXT = "stable gradient for entity linking with sparse encoders"
 DIM = 96
 
 
-def index(spark: SparkSession, d: str) -> DataFrame:
-    return R.index_of(table(spark, d, "chunks"))
+def index(spark: SparkSession, d: str) -> R.Index:
+    """The stored index of the chunks, written by the first search in the shared folder."""
+    return stored_index(spark, f"{d}/chunks.parquet")
 
 
-def keyed_index(spark: SparkSession, d: str) -> DataFrame:
+def keyed_index(spark: SparkSession, d: str) -> R.Index:
     """The index with papers named as in current_papers and the graph."""
-    return index(spark, d).withColumn("paper_id", paper_key(F.col("paper_id")))
+    ix = index(spark, d)
+    return replace(ix, entries=ix.entries.withColumn("paper_id", paper_key(F.col("paper_id"))))
 
 
 def vectors(spark: SparkSession, d: str, n: int, last: bool = False) -> list[list[float]]:
-    """The first n usable vectors of sections by chunk_id, each id once."""
-    c = table(spark, d, "chunks").where((F.size("embedding") == DIM) & F.col("is_fulltext"))
+    """The first n usable vectors of sections by chunk_id."""
+    c = index(spark, d).entries.where((F.col("dim") == DIM) & F.col("is_fulltext"))
     order = F.desc("chunk_id") if last else F.asc("chunk_id")
-    rows = c.select("chunk_id", "embedding").orderBy(order).limit(2 * n).collect()
-    return [list(v) for v in dict((r["chunk_id"], r["embedding"]) for r in rows).values()][:n]
+    return [list(r["embedding"]) for r in c.select("chunk_id", "embedding").orderBy(order).limit(n).collect()]
 
 
 def dense_topk(spark, d):
@@ -53,11 +59,11 @@ def waypoint_topk(spark, d):
 
 
 def sparse_stats(spark, d):
-    return R.sparse_stats(index(spark, d)).select("n_docs", F.round("avgdl", 6).alias("avgdl"))
+    return index(spark, d).stats.select("n_docs", F.round("avgdl", 6).alias("avgdl"))
 
 
 def document_frequencies(spark, d):
-    return R.document_frequencies(index(spark, d))
+    return index(spark, d).terms
 
 
 def sparse_topk(spark, d):
@@ -69,7 +75,7 @@ def _hybrid(spark, d, k=20):
 
 
 def _hits(spark, d):
-    return R.ranked(_hybrid(spark, d)).withColumn("rerank_score", F.lit(None).cast("double"))
+    return bounded(R.ranked(_hybrid(spark, d)).withColumn("rerank_score", F.lit(None).cast("double")), 20)
 
 
 def group_papers(spark, d):
@@ -77,7 +83,7 @@ def group_papers(spark, d):
 
 
 def rerank_topk(spark, d):
-    return R.rerank(_hybrid(spark, d), index(spark, d), TEXT)
+    return R.rerank(bounded(_hybrid(spark, d), 20), index(spark, d), TEXT)
 
 
 def expand_chunks(spark, d):
@@ -93,16 +99,34 @@ def search_papers(spark, d):
     return engine.search(SearchParams(TEXT, top_k=5, use_hyde=False), vectors(spark, d, 1)[0])
 
 
+def index_stats(spark, d):
+    """Entries, vectors, papers and words of the stored index, and its size."""
+    ix = index(spark, d)
+    return stats_of(ix).join(storage_bytes(ix))  # one row each
+
+
+def chunk_metadata(spark, d):
+    """Papers of a hybrid search with the metadata of their first chunk."""
+    ix = index(spark, d)
+    return R.with_metadata(bounded(R.group_papers(_hits(spark, d), 5), 5), ix).select("paper_id", "first_chunk", "title", "year", "chunk_type")
+
+
+def search_chunks(spark, d):
+    """The chunks behind a hybrid search."""
+    return R.matched_chunks(_hits(spark, d), index(spark, d)).drop("rerank_score")
+
+
 def best_chunks(spark, d):
     """The six best chunks of every paper against one query, in one pass."""
-    rows = index(spark, d).select("chunk_id", "paper_id", F.round(R.dot(F.col("embedding"), vectors(spark, d, 1)[0]), 6).alias("score")).where("score is not null")
+    rows = index(spark, d).entries.where(F.col("dim") == DIM)
+    rows = rows.select("chunk_id", "paper_id", F.round(R.dot(F.col("embedding"), vectors(spark, d, 1)[0]), 6).alias("score"))
     w = R.W.partitionBy("paper_id").orderBy(F.desc("score"), "chunk_id")
     return rows.withColumn("pos", F.row_number().over(w)).where("pos <= 6")
 
 
 def path_steps(spark, d):
     a, b = vectors(spark, d, 1)[0], vectors(spark, d, 1, last=True)[0]
-    return learning_path(keyed_index(spark, d), G.graph(spark, d), (a, "stable gradient"), (b, "sparse encoder"), 4)
+    return learning_path(keyed_index(spark, d), G.graph(spark, d), (a, "stable gradient"), (b, "sparse encoder"), 4, Offline().explain)
 
 
 def path_coverage(spark, d):
@@ -129,6 +153,9 @@ QUERIES = {
     "rerank_topk": rerank_topk,
     "expand_chunks": expand_chunks,
     "best_chunks": best_chunks,
+    "index_stats": index_stats,
+    "chunk_metadata": chunk_metadata,
+    "search_chunks": search_chunks,
     "search_papers": search_papers,
     "learning_path": path_steps,
     "path_coverage": path_coverage,

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "citegrid", master: str | None = None, **conf: str) -> SparkSession:
@@ -19,6 +21,7 @@ def build_session(app: str = "citegrid", master: str | None = None, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     }
@@ -28,19 +31,36 @@ def build_session(app: str = "citegrid", master: str | None = None, **conf: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share; one of our own only where none is set (local tests)."""
+    """The folder of spark.checkpoint.dir, which all executors share. Where it is unset, a local session, all of whose tasks run on this
+    machine, gets a folder of its own that is removed when the program ends; a cluster has to set it."""
     sc = spark.sparkContext
     have = spark.conf.get("spark.checkpoint.dir", None)
     if not have:
         current = sc._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
-        have = os.path.join(tempfile.gettempdir(), "citegrid-checkpoints")
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        have = tempfile.mkdtemp(prefix="citegrid-")
+        atexit.register(shutil.rmtree, have, ignore_errors=True)
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(have)
     return have
 
 
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """df with the advice to broadcast it if it is counted to have at most `most` rows; else df, and the join shuffles."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def bounded(df: DataFrame, most: int) -> DataFrame:
+    """A report of at most `most` rows, computed once and held by the driver as a local table. More rows are an error."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows")
+    return df.sparkSession.createDataFrame(rows, df.schema)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """df written once to the shared checkpoint folder. Later reads survive the loss of executors."""
     shared_dir(df.sparkSession)
