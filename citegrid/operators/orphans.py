@@ -1,7 +1,7 @@
 """References to records that do not exist: missing, deleted, or arrived only later.
 
 Parent keys are cut into ranges at quantiles of a bounded sample. In a range the parents form one sorted array, and the
-references of that range are probed against it by binary search, a whole batch at once. Ranges that many references fall into
+references of that range are probed against it by binary search, a whole batch at once (`locate`). Ranges that many references fall into
 (a paper that everyone cites) are dealt out to several tasks, each with its own copy of the array; the copies are sized by a
 count per range, so that no task gets more than about `refs_per_task` references.
 """
@@ -13,9 +13,12 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 MISSING, DELETED, LATE = "missing", "deleted", "late"
 OUT = pa.schema([("owner", pa.string()), ("field", pa.string()), ("key", pa.string()), ("as_of", pa.timestamp("us", "UTC")), ("reason", pa.string())])
 
@@ -31,31 +34,54 @@ def _micros(col: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(col.cast(pa.int64()).fill_null(0)), null
 
 
-def _bytes(col: pa.ChunkedArray) -> np.ndarray:
-    return np.array([x.encode() for x in col.to_pylist()], dtype="S") if len(col) else np.empty(0, "S1")
+#: Keys of more bytes than this are kept out of the sorted arrays, whose elements are as wide as the longest.
+WIDTH = 48
+
+
+def _array(keys: list[bytes]) -> np.ndarray:
+    """Keys as a fixed-width array; a last byte of 1 keeps final zero bytes apart."""
+    return np.array([k + b"\x01" for k in keys], dtype="S") if keys else np.empty(0, "S1")
+
+
+def _parted(col: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions and array of the short keys, positions of the long ones."""
+    size = np.asarray(pc.binary_length(col))
+    short, long = np.flatnonzero(size <= WIDTH), np.flatnonzero(size > WIDTH)
+    return short, _array([x.encode() for x in col.take(pa.array(short)).to_pylist()]), long
+
+
+def locate(parents: pa.ChunkedArray, wanted: pa.ChunkedArray) -> np.ndarray:
+    """Position in parents (different keys) of each wanted key, -1 for none: binary search in the sorted array, a whole batch at once. The
+    few keys that are too long for it are looked up by their hash."""
+    at = np.full(len(wanted), -1, np.int64)
+    where, keys, long_parents = _parted(parents)
+    here, probes, long_wanted = _parted(wanted)
+    if len(keys) and len(probes):
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        found = np.minimum(np.searchsorted(keys, probes), len(keys) - 1)
+        at[here] = np.where(keys[found] == probes, where[order[found]], -1)
+    if len(long_parents) and len(long_wanted):
+        got = pc.index_in(wanted.take(pa.array(long_wanted)), value_set=parents.take(pa.array(long_parents)))
+        got = np.asarray(got.fill_null(-1))
+        at[long_wanted] = np.where(got >= 0, long_parents[got], -1)
+    return at
 
 
 def probe(parents: pa.Table, refs: pa.Table) -> pa.Table:
     """The references of one range that miss, with the reason. parents: (key, arrived, deleted), one row per key."""
     if not refs.num_rows:
         return OUT.empty_table()
-    wanted = _bytes(refs.column("key"))
-    reason = np.zeros(len(wanted), np.int8)  # 0: fine
+    reason = np.ones(refs.num_rows, np.int8)  # 0: fine, 1: missing
     if parents.num_rows:
-        keys = _bytes(parents.column("key"))
-        order = np.argsort(keys, kind="stable")
-        keys = keys[order]
+        at = locate(parents.column("key"), refs.column("key"))
         arrived, absent = _micros(parents.column("arrived"))
-        arrived, absent = arrived[order], absent[order]
-        deleted = np.asarray(parents.column("deleted"))[order].astype(bool)
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        there = (keys[at] == wanted) & ~absent[at]
+        deleted = np.asarray(parents.column("deleted")).astype(bool)
         as_of, open_end = _micros(refs.column("as_of"))
+        there = (at >= 0) & ~absent[at]
+        reason[there] = 0
         reason[there & ~open_end & (arrived[at] > as_of)] = 3
         reason[there & deleted[at]] = 2
-        reason[~there] = 1
-    else:
-        reason[:] = 1
     miss = pa.array(np.flatnonzero(reason))
     names = pa.array([MISSING, DELETED, LATE])
     got = refs.select(["owner", "field", "key", "as_of"]).take(miss)
@@ -84,20 +110,22 @@ def find_orphans(
     )
     known = known.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("arrived").alias("arrived"), F.max("deleted").alias("deleted"))
     refs = refs.select("owner", "field", "key", F.col("as_of").cast("timestamp").alias("as_of")).where(F.col("key").isNotNull())
+    # both are read for a sample first and then whole: made once
+    known, refs = cut_lineage(known), cut_lineage(refs)
 
-    total = parents.count()
+    total = known.count()
     ranges = max(1, math.ceil(total / range_rows))
     bounds = np.empty(0, "S1")
     if ranges > 1:
         rate = min(1.0, sample_rows / total)
-        picked = known.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(rate * 1_000_000)).select("key").toArrow()
-        keys = np.sort(_bytes(picked.column("key")))
+        picked = known.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(rate * 1_000_000)).select(F.substring("key", 1, WIDTH).alias("key")).toArrow()
+        keys = np.sort(_array([k.encode() for k in picked.column("key").to_pylist()]))
         if len(keys):
             bounds = np.unique(keys[np.linspace(0, len(keys), ranges + 1).astype(int)[1:-1]])
 
     @F.pandas_udf("int")
     def range_of(key: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, np.array([k.encode() for k in key], dtype="S"), side="right").astype(np.int32))
+        return pd.Series(np.searchsorted(bounds, _array([k[:WIDTH].encode() for k in key]), side="right").astype(np.int32))
 
     known = known.withColumn("rg", range_of("key"))
     refs = refs.withColumn("rg", range_of("key"))

@@ -108,3 +108,11 @@ def test_probe_is_a_binary_search(keys, wanted):
     ordered = sorted(keys)
     miss = [w for w in wanted if not (bisect.bisect_left(ordered, w) < len(ordered) and ordered[bisect.bisect_left(ordered, w)] == w)]
     assert probe(parents, refs).column("key").to_pylist() == miss
+
+
+def test_long_keys_and_final_zero_bytes(spark):
+    long = "x" * 100_000
+    parents = [(k, 0) for k in ("a", "a\0", "b" * 48, "b" * 49, long, "é" * 30)]
+    refs = [("o", "f", k, 1) for k in ("a", "a\0", "a\0\0", "b" * 47, "b" * 48, "b" * 49, "b" * 50, long, long + "y", "é" * 30, "é" * 29)]
+    for kw in ({}, {"range_rows": 2, "sample_rows": 100}):
+        assert run(spark, refs, parents, ["b" * 49], **kw) == brute(refs, parents, {"b" * 49})
