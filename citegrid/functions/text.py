@@ -133,3 +133,30 @@ def boost(count: Column, full: int) -> Column:
 def interior(n: int) -> list[float]:
     """n positions strictly between 0 and 1, evenly spread."""
     return [i / (n + 1) for i in range(1, n + 1)]
+
+
+def fill_template(template: str, query: Column) -> Column:
+    """The template with its {query} replaced."""
+    return F.replace(F.lit(template), F.lit("{query}"), query)
+
+
+def authors_line(authors: Column, most: int = 3) -> Column:
+    """First names of a list, and how many more there are."""
+    rest = F.size(authors) - most
+    return F.concat(F.array_join(F.slice(authors, 1, most), ", "), F.when(rest > 0, F.concat(F.lit(" +"), rest.cast("string"), F.lit(" more"))).otherwise(""))
+
+
+def bold_parts(answer: Column) -> Column:
+    """Texts between double asterisks."""
+    return F.regexp_extract_all(answer, F.lit(r"\*\*([^*\n]+)\*\*"), F.lit(1))
+
+
+def bullet_lines(answer: Column) -> Column:
+    """Lines that begin with a bullet, without it."""
+    lines = F.filter(F.split(answer, "\n"), lambda x: x.rlike(r"^\s*[-*•]\s+\S"))
+    return F.transform(lines, lambda x: F.regexp_replace(x, r"^\s*[-*•]\s+", ""))
+
+
+def cost(tokens: Column, per_million: float = 0.02) -> Column:
+    """Price of embedding so many tokens."""
+    return tokens / 1e6 * per_million

@@ -195,10 +195,11 @@ def group_papers(hits: DataFrame, k: int) -> DataFrame:
 
 
 def with_metadata(papers: DataFrame, index: Index) -> DataFrame:
-    """Grouped papers with the metadata of their first chunk in rank order."""
+    """Grouped papers with the metadata of their first chunk in rank order; null where the index has no such column."""
     head = papers.withColumn("chunk_id", F.split_part("chunks", F.lit(","), F.lit(1)))
-    meta = ["title", "year", "primary_category", "citation_count", "published", "chunk_type", "section_heading"]
-    found = texts_of(index, head).select("chunk_id", *[c for c in meta if c in index.entries.columns])
+    meta = {"title": "string", "year": "int", "primary_category": "string", "citation_count": "int", "published": "string", "chunk_type": "string", "section_heading": "string"}
+    cols = [F.col(c) if c in index.entries.columns else F.lit(None).cast(t).alias(c) for c, t in meta.items()]
+    found = texts_of(index, head).select("chunk_id", *cols)
     return head.join(found, "chunk_id", "left").withColumnRenamed("chunk_id", "first_chunk")
 
 

@@ -198,16 +198,51 @@ _PLACE = "case when pos / n < 0.15 then 'introduction' when pos / n < 0.35 then
 _STOP = ", ".join(f"'{w}'" for w in KEYWORD_STOPWORDS)
 _METHODS = ", ".join(f"'{m}'" for m in METHOD_TERMS)
 _W = r"\b[a-z][a-z\-]{2,}\b"
-_WEIGHTS = rf"""with {CURRENT},
-    x as (select pid as id, lower(coalesce(title, '') || ' ' || coalesce(abstract, '')) as x, lower(title) as t from cur),
+
+
+def _weights(abstract: str = "abstract") -> str:
+    """SQL: x(id, x, t) and k(id, word, weight)."""
+    return rf"""with recursive {CURRENT},
+    x as (select pid as id, lower(coalesce(title, '') || ' ' || coalesce({abstract}, '')) as x, lower(title) as t from cur),
     w as (select id, word, count(*) as n from (select id, unnest(regexp_extract_all(x, '{_W}')) as word from x) where word not in ({_STOP}) group by all),
     h as (select distinct id, unnest(regexp_extract_all(t, '{_W}')) as word from x),
     m as (select id, replace(term, ' ', '-') as word, 5 as plus from x, (select unnest([{_METHODS}]) as term) where contains(x, term)),
     f as (select w.id, w.word, n * case when h.word is null then 1 else 3 end as n from w left join h on h.id = w.id and h.word = w.word),
     k as (select coalesce(f.id, m.id) as id, coalesce(f.word, m.word) as word, coalesce(n, 0) + coalesce(plus, 0) as weight
           from f full join m on f.id = m.id and f.word = m.word)"""
+
+def _keywords(abstract: str = "abstract") -> str:
+    """SQL: kw(id, keywords), a fold over the heaviest words."""
+    return f"""{_weights(abstract)},
+    l as (select id, list([word] order by r) as ws from (select id, word, row_number() over (partition by id order by weight desc, word) as r from k) where r <= 16 group by id),
+    mt as (select id, list_filter([{_METHODS}], lambda t: contains(x, t))[1:4] as ms from x),
+    kw as (select mt.id, list_reduce(coalesce(ws, []), lambda acc, w: case when len(acc) < 8 and not contains(array_to_string(acc, ' '), w[1]) then list_append(acc, w[1]) else acc end, ms)[1:8] as keywords
+           from mt left join l using (id))"""
+
+
 _DAY = "epoch(ts)::bigint // 86400"
 
+
+#: Sections with their type in SQL.
+SECTIONS = f"""with one as (select * from parsed_papers qualify row_number() over (partition by paper_id order by parsed_at) = 1),
+        s as (select paper_id, greatest(len(sections), 1)::double as n, unnest(sections) as s, unnest(range(len(sections)))::int as pos from one),
+        f as (select paper_id, n, pos, s.heading as heading, trim(regexp_replace({strip('lower(s.heading)')}, '^[0-9.\\s]+', '')) as b from s
+              qualify row_number() over (partition by paper_id, s."text"[:200] order by pos) = 1)
+        select paper_id, pos as section_index, heading,
+        case when heading is null or heading = '' then 'unknown' else coalesce({_EXACT}, {_INSIDE}, {_PLACE}) end as section_type from f"""
+
+
+def _sliding(source: str, hour: int = 1, day: int = 5) -> str:
+    """SQL: requests by ip in order of time, each step with the times accepted so far."""
+    back = "epoch_us(r.ts) - t"
+    ok = f"(len(list_filter(acc, lambda t: {back} < 3600000000)) < {hour} and len(list_filter(acc, lambda t: {back} < 86400000000)) < {day})"
+    return f"""with recursive r as (select event_id, user_id, ts, row_number() over (partition by user_id order by ts, event_id) as n from {source} where ts is not null),
+        f as (select event_id, user_id, n, true as accepted, [epoch_us(ts)] as acc from r where n = 1
+              union all select r.event_id, r.user_id, r.n, {ok}, case when {ok} then list_append(acc, epoch_us(r.ts)) else acc end
+              from f join r on r.user_id = f.user_id and r.n = f.n + 1)
+        select event_id as request_id, 'u' || user_id as ip, accepted from f"""
+
+
 ORACLES = {
     "validate_ok": f"""select id, {strip('title')} as title, length({strip('abstract')}) as abstract_chars,
         len(list_filter(authors, lambda a: {strip('a')} <> '')) as authors, ingested_at from papers where {_WHY} = ''""",
@@ -231,14 +266,29 @@ ORACLES = {
     "sentence_counts": r"""select doc_id,
         len(list_filter(string_split(regexp_replace(regexp_replace(text, '\n+', ' ', 'g'), '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: regexp_matches(x, '\S'))) as sentences,
         len(list_filter(regexp_split_to_array(text, '\n\s*\n'), lambda x: regexp_matches(x, '\S'))) as paragraphs from documents where text is not null""",
-    "keyword_weights": f"{_WEIGHTS} select id, word, weight from k",
-    "section_class": f"""with one as (select * from parsed_papers qualify row_number() over (partition by paper_id order by parsed_at) = 1),
-        s as (select paper_id, greatest(len(sections), 1)::double as n, unnest(sections) as s, unnest(range(len(sections)))::int as pos from one),
-        f as (select paper_id, n, pos, s.heading as heading, trim(regexp_replace({strip('lower(s.heading)')}, '^[0-9.\\s]+', '')) as b from s
-              qualify row_number() over (partition by paper_id, s."text"[:200] order by pos) = 1)
-        select paper_id, pos as section_index, heading,
-        case when heading is null or heading = '' then 'unknown' else coalesce({_EXACT}, {_INSIDE}, {_PLACE}) end as section_type from f""",
-    "unparsed_papers": f"with {CURRENT} select pid as id from cur where pid not in (select paper_id from parsed_papers)",
+    "keyword_weights": f"{_weights()} select id, word, weight from k",
+    "keywords": f"{_keywords()} select id, array_to_string(keywords, ',') as keywords from kw",
+    "enriched_text": f"""{_keywords(_CLEAN)} select pid as chunk_id, 'full' as chunk_type, concat_ws(chr(10),
+        '[' || {field("coalesce(categories[1], primary_category)")} || ' | ' || coalesce(year::varchar, '') || '] ' || {strip("coalesce(title, '')")},
+        case when len(authors) > 0 then 'Authors: ' || array_to_string(authors[1:3], ', ') || case when len(authors) > 3 then ' (+' || (len(authors) - 3) || ' more)' else '' end end,
+        case when len(keywords) > 0 then 'Keywords: ' || array_to_string(keywords, ', ') end, coalesce({_CLEAN}, '')) as chunk_text
+        from cur left join kw on kw.id = cur.pid""",
+    "category_presets": """with c(archive, categories) as (values
+            ('cs', 'cs.AI,cs.CL,cs.LG,cs.CV,cs.NE,cs.RO,cs.AR,cs.OS,cs.DC,cs.SE,cs.PL,cs.DS,cs.CR,cs.NI,cs.IT,cs.DB,cs.DL,cs.IR,cs.DM,cs.GR,cs.MM,cs.CG,cs.HC,cs.CC,cs.LO,cs.ET,cs.FL,cs.GT,cs.SC,cs.SI,cs.SY,cs.SD,cs.CE,cs.MS,cs.NA,cs.PF,cs.CY,cs.OH'),
+            ('eess', 'eess.AS,eess.IV,eess.SP,eess.SY'), ('math', 'math.OC,math.NA,math.ST,math.IT,math.CO,math.DS'), ('stat', 'stat.ML,stat.AP,stat.TH,stat.CO'),
+            ('q-bio', 'q-bio.BM,q-bio.CB,q-bio.GN,q-bio.MN,q-bio.NC,q-bio.OT,q-bio.PE,q-bio.QM,q-bio.SC,q-bio.TO'), ('q-fin', 'q-fin.CP,q-fin.ST,q-fin.TR'),
+            ('econ', 'econ.EM,econ.TH,econ.GN'), ('physics', 'physics.data-an,physics.soc-ph,physics.comp-ph')),
+        p(preset, parts) as (values ('cs-core', ['cs.AI,cs.CL,cs.LG,cs.CV,cs.NE,cs.RO']), ('cs-systems', ['cs.OS,cs.DC,cs.SE,cs.PL,cs.AR,cs.DS']),
+            ('cs-data', ['cs.DB,cs.IR,cs.DL,cs.DM,cs.IT']), ('cs-security', ['cs.CR,cs.NI,cs.SY']), ('cs-graphics', ['cs.GR,cs.MM,cs.CG,cs.HC']),
+            ('cs-all', ['cs']), ('eess-all', ['eess']), ('math-relevant', ['math']), ('stat-relevant', ['stat']), ('biotech', ['q-bio']), ('quant-finance', ['q-fin']),
+            ('ai-applications', ['stat', 'q-fin', 'econ', 'physics']), ('comprehensive', ['cs', 'eess', 'math', 'stat', 'q-bio', 'q-fin', 'econ', 'physics'])),
+        e as (select preset, unnest(parts) as part, unnest(range(len(parts))) as i from p),
+        t as (select preset, string_agg(coalesce(categories, part), ',' order by i) as categories from e left join c on archive = part group by preset)
+        select preset, len(string_split(categories, ',')) as n, categories from t""",
+    "rate_limit_ip": _sliding("events"),
+    "admission": _sliding(f"(select * from events qualify row_number() over (partition by {_DAY} order by ts, event_id) <= 200)"),
+    "section_class": SECTIONS,
+    "unparsed_papers": f"with {CURRENT} select pid as id from cur where pid not in (select 'arxiv:' || {bare('paper_id')} from parsed_papers where paper_id is not null)",
     "chunk_type_shares": f"with {INDEX}, c as (select chunk_type, count(*) as n from idx group by 1) select chunk_type, n, round_even(100 * n / sum(n) over (), 2) as percent from c",
     "upsert_chunks": f"""with {INDEX}, k as (select *, not is_fulltext as known, coalesce(len(embedding), 0) < 1 as bad from idx)
         select count(*) filter (not known and not bad) as upserted, count(*) filter (known) as skipped, count(*) filter (not known and bad) as failed from k""",

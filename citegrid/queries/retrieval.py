@@ -15,7 +15,7 @@ from ..operators.store import storage_bytes, stored_index
 from ..plans.providers import Offline
 from ..session import bounded, table
 from . import graph as G
-from .sql import INDEX
+from .sql import CURRENT, INDEX, bare, field
 
 TEXT = "stable gradient for entity linking with sparse encoders"
 DIM = 96
@@ -185,6 +185,27 @@ def _mixed(expr: str) -> str:
         select chunk_id, paper_id, round(list_dot_product(embedding::double[], (select v from m)), 6) as score from vec{_TOP}"""
 
 
+_KEYED = f"'arxiv:' || {bare('hy.paper_id')}"
+#: search_papers: twenty hits under the papers' keys, ranked anew, grouped, siblings counted, records joined.
+_SEARCH = f"""{_HYBRID.replace("with ", f"with {CURRENT},", 1)},
+    h0 as (select hy.chunk_id, {_KEYED} as paper_id, hy.score, row_number() over (order by hy.score desc, hy.chunk_id) as r0,
+                  round(len(list_intersect(list_distinct(w.w), [{_TERMS}])) / {len(set(TEXT.split()))}, 6) as rr from hy join w using (chunk_id)),
+    h1 as (select *, row_number() over (order by rr desc, r0) as rank, case when rr <> 0 then rr else score end as value from h0),
+    g1 as (select paper_id, max(value) as best_score, arg_max(rr, (value, -rank)) as rerank_score, min(rank)::int as first_rank,
+                  string_agg(chunk_id, ',' order by rank) as chunks, count(*) as n_chunks, arg_min(chunk_id, rank) as first_chunk
+           from h1 group by paper_id order by best_score desc, first_rank limit 5),
+    o1 as (select d.chunk_id, g1.paper_id, n_chunks, round(dense, 6) as score,
+                  row_number() over (partition by g1.paper_id order by round(dense, 6) desc, d.chunk_id) as r
+           from d join g1 on g1.paper_id = 'arxiv:' || {bare("d.paper_id")} where n_chunks < 3),
+    n1 as (select paper_id, n_chunks, row_number() over (partition by paper_id order by score desc, chunk_id) as p from o1 where r <= 6 and chunk_id not in (select chunk_id from hy)),
+    x1 as (select paper_id, count(*) as expanded from n1 where p <= 3 - n_chunks group by 1)
+    select g1.paper_id, best_score, rerank_score, first_rank, chunks, n_chunks, coalesce(expanded, 0) as expanded, coalesce(i.title, c.title, '') as title,
+    coalesce(i.year, c.year)::int as year, coalesce(c.abstract, '')[:1000] as abstract, coalesce(array_to_string(c.authors[1:10], ', '), '') as authors,
+    coalesce(array_to_string(c.categories[1:10], ','), '') as categories, coalesce(c.pdf_url, '') as pdf_url, {field("i.primary_category")} as field,
+    case when coalesce(c.citation_count, i.citation_count, 0) >= 100 then 'high' when coalesce(c.citation_count, i.citation_count, 0) >= 10 then 'medium' else 'low' end as citation_tier,
+    coalesce(contains(lower(c.abstract), 'github'), false) as has_code, regexp_matches(lower(coalesce(i.title, c.title, '')), 'survey|review|overview') as is_survey
+    from g1 left join x1 using (paper_id) left join idx i on i.chunk_id = first_chunk left join cur c on c.pid = g1.paper_id"""
+
 ORACLES = {
     "dense_topk": f"{_DENSE} select chunk_id, paper_id, round(dense, 6) as score from d{_TOP}",
     "dense_topk_filtered": f"""{_DENSE} select chunk_id, paper_id, round(dense, 6) as score from d
@@ -206,4 +227,13 @@ ORACLES = {
         select chunk_id, paper_id, score from n where p <= 3 - n_chunks""",
     "best_chunks": f"""{_DENSE} select chunk_id, paper_id, round(dense, 6) as score,
         row_number() over (partition by paper_id order by round(dense, 6) desc, chunk_id) as pos from d qualify pos <= 6""",
+    "search_papers": _SEARCH,
+    "index_stats": f"""with {INDEX}, w as (select *, len(regexp_extract_all(lower(coalesce(chunk_text, '')), '[a-z0-9]+')) as dl,
+            case when len(embedding) > 0 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding) then len(embedding) else 0 end as dim from idx)
+        select count(*) as entries, count(*) filter (dim > 0) as vectors, count(distinct paper_id) as papers, sum(dl)::bigint as words,
+        round(count(*) filter (dim > 0) / greatest(count(*), 1), 6) as fullness, sum(4 * dim + coalesce(length(chunk_text), 0))::bigint as bytes from w""",
+    "chunk_metadata": f"""{_HYBRID}, f as (select gp.*, string_split(chunks, ',')[1] as first_chunk from gp)
+        select f.paper_id, first_chunk, title, year, chunk_type from f join idx on idx.chunk_id = first_chunk""",
+    "search_chunks": f"""{_HYBRID} select rk.paper_id, rk.chunk_id, chunk_type, section_heading, score, rank, chunk_text[:800] as snippet
+        from rk join idx on idx.chunk_id = rk.chunk_id""",
 }
