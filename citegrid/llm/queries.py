@@ -12,7 +12,7 @@ from .mixing import mix
 from .names import link_names, name_pairs
 from .neardup import near_classes, near_pairs
 from .neighbors import similar_vectors
-from .packing import container_report, pack
+from .packing import container_report, pack, window_report
 from .quality import text_quality
 from .segment import split_oversized
 from .tokens import sized
@@ -104,6 +104,27 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return container_report(p6_pack(spark, sf_dir), CAPACITY)
 
 
+def p6_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each source has of each window of containers, beside its target."""
+    return window_report(p6_pack(spark, sf_dir), _shares(spark, sf_dir))
+
+
+def p6_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of the packing, which has none: documents not packed whole, pieces given twice, cut without need, containers over capacity."""
+    packed = cut_lineage(p6_pack(spark, sf_dir))
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id")
+    per = packed.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("part_no").alias("kinds"), F.max("parts").alias("parts"), F.sum("tokens").alias("tokens"))
+    j = docs.join(per, "doc_id", "full")
+    items = j.agg(
+        F.count("*").alias("documents"),
+        F.count_if(~F.coalesce(F.col("kinds") == F.col("parts"), F.lit(False))).alias("not_whole"),
+        F.count_if(F.col("n") > F.col("parts")).alias("twice"),
+        F.count_if((F.col("parts") > 1) & (F.col("tokens") <= CAPACITY)).alias("cut_without_need"),
+    )
+    over = packed.groupBy("container").agg(F.sum("tokens").alias("t")).agg(F.count_if(F.col("t") > CAPACITY).alias("over_capacity"))
+    return items.join(over)  # one row each
+
+
 def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, sf_dir, "documents")
     sizes = sized(docs, "doc_id", "text", "source")
@@ -145,6 +166,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_entities": p5_entities,
     "p6_pack": p6_pack,
     "p6_report": p6_report,
+    "p6_windows": p6_windows,
+    "p6_whole": p6_whole,
     "p7_mix": p7_mix,
     "p7_report": p7_report,
     "p8_found": p8_found,
@@ -181,4 +204,6 @@ ORACLES: dict[str, str] = {
             union all select 'chunks', chunk_id, chunk_text from chunks)
         select distinct table_name, item_key from t
         where item_key is not null and length(x) > 600 and len(regexp_extract_all(x, '{_TOKEN}')) > 600""",
+    "p6_whole": """select count(*) as documents, 0::bigint as not_whole, 0::bigint as twice, 0::bigint as cut_without_need, 0::bigint as over_capacity
+        from documents where text is not null""",
 }
