@@ -98,9 +98,8 @@ def cuts(text: str, limit: int, overlap: int, block: int, least: float, paragrap
             window = worth[a:b]
             cut = int(at[a + len(window) - 1 - int(np.argmax(window[::-1]))])
         else:
-            early = at[(at > done) & (at <= room)]
-            if len(early):
-                cut = int(early[-1])
+            if b and at[b - 1] > done:  # the last boundary before the window
+                cut = int(at[b - 1])
             else:
                 cut = room
                 while cut > low and spans[cut, 0] == spans[cut - 1, 1]:
