@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,9 +15,10 @@ from .names import link_names, name_pairs
 from .neardup import near_classes, near_pairs
 from .neighbors import similar_vectors
 from .packing import container_report, pack, window_report
-from .quality import text_quality
+from .quality import FIELDS, columns_of, text_quality
 from .segment import split_oversized
-from .tokens import sized
+from .tokens import offer, sized
+from .tokens import sizes as token_sizes
 
 #: Tokens of a container.
 CAPACITY = 2048
@@ -64,6 +67,31 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("key.t").alias("table_name"), F.col("key.k").alias("item_key"), "piece", "pieces", "n_tokens", "start", "end", "text")
 
 
+def p4_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of the pieces, which have none: over the limit, gaps between neighbours, other characters than the text's, ends left out."""
+    texts = _texts(spark, sf_dir)
+    got = cut_lineage(split_oversized(texts, "item", "text").where(F.col("pieces") > 1).distinct())
+    last = F.max_by("end", "piece")
+    per = got.groupBy("key").agg(
+        F.count("*").alias("n"),
+        F.max("pieces").alias("pieces"),
+        F.max("n_tokens").alias("most"),
+        F.min("start").alias("first"),
+        last.alias("last"),
+        F.array_sort(F.collect_list(F.struct("piece", "start", "end", "text"))).alias("p"),
+    )
+    gap = F.exists(F.zip_with(F.slice("p", 2, F.size("p") - 1), F.slice("p", 1, F.size("p") - 1), lambda b, a: (b["start"] > a["end"]) | (b["start"] <= a["start"])), lambda x: x)
+    j = per.join(texts.select(F.col("item").alias("key"), F.col("text").alias("whole")).distinct(), "key")
+    other = F.exists("p", lambda x: F.substring(F.col("whole"), x["start"] + 1, x["end"] - x["start"]) != x["text"])
+    return j.groupBy(F.col("key.t").alias("table_name")).agg(
+        F.count("*").alias("items"),
+        F.count_if((F.col("most") > 600) | (F.col("n") != F.col("pieces"))).alias("over_limit"),
+        F.count_if(gap).alias("gaps"),
+        F.count_if(other).alias("not_the_text"),
+        F.count_if((F.col("first") != 0) | (F.col("last") != F.length("whole"))).alias("ends_missing"),
+    )
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts that came out of the splitter in more than one piece."""
     got = split_oversized(_texts(spark, sf_dir), "item", "text").where((F.col("pieces") > 1) & (F.col("piece") == 0))
@@ -125,11 +153,22 @@ def p6_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.join(over)  # one row each
 
 
+def _weighed(docs: DataFrame) -> DataFrame:
+    """(id, source, size, weight) of documents with a text, in one pass over the texts: tokens, and 0.1 to 1 by the share of prose."""
+    offer(docs.sparkSession)
+    rows = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").alias("id"), "source", "text")
+    share = [f[0] for f in FIELDS].index("prose_share")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            weight = pc.add(pc.multiply(columns_of(b.column(2))[share], 0.9), 0.1)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), token_sizes(b.column(2)), weight], names=["id", "source", "size", "weight"])
+
+    return rows.mapInArrow(run, "id bigint, source string, size bigint, weight double")
+
+
 def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, sf_dir, "documents")
-    sizes = sized(docs, "doc_id", "text", "source")
-    weights = text_quality(docs, "doc_id", "text").select("id", (0.1 + 0.9 * F.col("prose_share")).alias("weight"))
-    rows = cut_lineage(sizes.join(weights, "id"))  # doc_id is unique
+    rows = cut_lineage(_weighed(table(spark, sf_dir, "documents")))
     total = rows.agg(F.sum("size")).first()[0] or 0
     return mix(rows, table(spark, sf_dir, "source_targets"), total)
 
@@ -144,6 +183,21 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixed(spark, sf_dir)[1]
 
 
+def p7_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of the mix, which has none: documents used too often or selected that may not be, sources over budget, and epochs not complete
+    before a part of the next begins; beside the number of listed sources."""
+    sel, rep = _mixed(spark, sf_dir)
+    sel = cut_lineage(sel)
+    rule = table(spark, sf_dir, "source_targets").where(F.col("source").isNotNull()).groupBy("source").agg(F.max("max_repeats").alias("most"))
+    per = sel.groupBy("source").agg(F.max("uses").alias("high"), F.min("uses").alias("low"), F.count("*").alias("n"))
+    docs = table(spark, sf_dir, "documents").where(F.col("text").isNotNull()).groupBy("source").agg(F.count("*").alias("docs"))
+    j = per.join(rule, "source", "left").join(docs, "source", "left")
+    # all documents of the source have been used once more than `low` or as often; fewer documents than there are means that some have none
+    torn = (F.col("high") - F.when(F.col("n") < F.col("docs"), 0).otherwise(F.col("low"))) > 1
+    faults = j.agg(F.count_if(F.col("high") > F.coalesce("most", F.lit(0))).alias("too_often"), F.count_if(F.col("most").isNull()).alias("not_listed"), F.count_if(torn).alias("torn_epochs"))
+    return faults.join(rep.agg(F.count("*").alias("sources"), F.count_if(F.col("missing") < 0).alias("over_budget")))  # one row each
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of which more than half, by characters, is no natural prose."""
     got = text_quality(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -170,6 +224,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_whole": p6_whole,
     "p7_mix": p7_mix,
     "p7_report": p7_report,
+    "p7_whole": p7_whole,
+    "p4_whole": p4_whole,
     "p8_found": p8_found,
     "p8_quality": p8_quality,
 }
@@ -206,4 +262,12 @@ ORACLES: dict[str, str] = {
         where item_key is not null and length(x) > 600 and len(regexp_extract_all(x, '{_TOKEN}')) > 600""",
     "p6_whole": """select count(*) as documents, 0::bigint as not_whole, 0::bigint as twice, 0::bigint as cut_without_need, 0::bigint as over_capacity
         from documents where text is not null""",
+    "p7_whole": """select 0::bigint as too_often, 0::bigint as not_listed, 0::bigint as torn_epochs, count(distinct source) as sources, 0::bigint as over_budget
+        from source_targets where source is not null""",
+    "p4_whole": rf"""
+        with s as (select paper_id, unnest(sections) as s, unnest(range(len(sections))) as pos from parsed_papers),
+        t as (select 'parsed_papers' as table_name, paper_id || '#' || pos as item_key, s."text" as x from s
+              union all select 'chunks', chunk_id, chunk_text from chunks)
+        select table_name, count(distinct item_key) as items, 0::bigint as over_limit, 0::bigint as gaps, 0::bigint as not_the_text, 0::bigint as ends_missing
+        from t where item_key is not null and length(x) > 600 and len(regexp_extract_all(x, '{_TOKEN}')) > 600 group by 1""",
 }

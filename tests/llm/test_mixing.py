@@ -1,6 +1,8 @@
 import math
 import random
 
+from pyspark.sql import functions as F
+
 from citegrid.llm.mixing import mix
 
 DOCS = "id bigint, source string, size bigint, weight double, epochs int, key int"
@@ -30,9 +32,9 @@ def test_cap(spark):
     assert set(sel.values()) == {2} and rep["a"].missing == 900
 
 
-def test_the_smallest_keys_come_first_at_any_number_of_buckets(spark):
+def test_the_smallest_keys_come_first_at_any_number_of_ranges(spark):
     docs = [(i, "a", 7, 0.1 + (i % 10)) for i in range(300)]
-    picks = [run(spark, docs, [("a", 1.0, 1)], 700, buckets=b)[0] for b in (1, 16, 4096)]
+    picks = [run(spark, docs, [("a", 1.0, 1)], 700, ranges=r, fine=f)[0] for r, f in ((1, 1), (1, 16), (1024, 4096))]
     assert picks[0] == picks[1] == picks[2] and len(picks[0]) == 100
 
 
@@ -43,6 +45,16 @@ def test_weights(spark):
     assert 0.84 < heavy < 0.92 and math.isclose(len(sel), 800)
 
 
+def test_tiny_weights_do_not_meet_in_one_range(spark):
+    docs = [(i, "a", 3, 1e-9 if i % 2 else 0.1) for i in range(3000)]
+    sel, rep = run(spark, docs, [("a", 1.0, 1)], 6000)
+    assert 0 <= rep["a"].missing < 3 and sum(i % 2 == 0 for i, _ in sel) == 1500  # all heavier ones, then light ones
+    df = spark.createDataFrame([(*x, 0, 0) for x in docs], DOCS)
+    key = F.log2(-F.log((F.shiftrightunsigned(F.xxhash64("id", F.lit(7)), 11).cast("double") + 0.5) / float(2**53)) / F.greatest("weight", F.lit(1e-9))) * 1024
+    most = df.groupBy(F.floor(key)).count().agg(F.max("count")).first()[0]
+    assert most < 20
+
+
 def test_edges(spark):
     assert run(spark, [], [("a", 1.0, 1)], 10)[1]["a"].selected == 0
     assert run(spark, [(1, "a", 1, 1.0)], [], 10) == ({}, {})
