@@ -1,8 +1,9 @@
 """The k most similar vectors of every vector: a forest of random-projection trees searched through a shared priority queue.
 
-Two levels of trees. A routing tree, fitted on a bounded sample and sent to every task, cuts the space into shards of about
-`shard_rows` rows; each vector is indexed in its home shard and travels as a query to the further shards that the routing
-queue ranks next (margin to the splitting planes within `tau`, fitted so that `mean_probes` shards are visited on average).
+Two levels of trees. A routing tree, sent to every task, cuts the space into shards of about `shard_rows` rows; each vector is indexed in
+its home shard and travels as a query to the further shards that the routing queue ranks next (margin to the splitting planes
+within `tau`, fitted so that `mean_probes` shards are visited on average). A row walks down the tree only where a margin is within
+tau, so routing costs the logarithm of the number of shards.
 In a shard a local forest is grown over all its rows. The priority of a leaf is the smallest margin on its path; the queue is
 shared by all trees, so a query opens the `probes` best leaves of the whole forest. Popping a best-first queue visits leaves in
 exactly the order of that priority, as it never rises along a path, hence the queue is evaluated for a block of queries at once
@@ -12,6 +13,7 @@ with matrix products. Candidates are reranked by exact cosine in double precisio
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage, small
+
 NEIGHBOR = "array<struct<d:double,id:string>>"
 
 
@@ -90,17 +94,18 @@ def split_at(p: np.ndarray, share: float, slack: float) -> tuple[np.ndarray, int
 
 
 class Router:
-    """A tree with `leaves` leaves over the space, fitted on a bounded sample."""
+    """A tree with `leaves` leaves over the space, fitted on a bounded sample. A plane is (normal, threshold, left, right); a leaf is the
+    complement of its number."""
 
-    def __init__(self, sample: np.ndarray, leaves: int, mean_probes: float, seed: int = 17):
-        self.leaves, self.tau = max(1, leaves), -1.0
-        self.planes: list = []
+    def __init__(self, sample: np.ndarray, leaves: int, seed: int = 17):
+        self.planes: list[tuple] = []
+        self.leaves, self.tau = 0, -1.0
         rng = np.random.default_rng(seed)
 
         def grow(idx: np.ndarray, n: int) -> int:
             if n == 1:
-                self.count += 1
-                return ~(self.count - 1)
+                self.leaves += 1
+                return ~(self.leaves - 1)
             share = (n // 2) / n
             if len(idx) < 2:
                 w, t, left = direction(sample if len(sample) else np.ones((1, 1), np.float32), rng), 0.0, np.zeros(len(idx), bool)
@@ -110,31 +115,60 @@ class Router:
                 _, _, t = split_at(p, share, 0.12)
                 left = p < t
             at = len(self.planes)
-            self.planes.append(None)
-            self.planes[at] = (w, t, grow(idx[left], n // 2), grow(idx[~left], n - n // 2))
+            self.planes.append(())
+            self.planes[at] = (w, np.float32(t), grow(idx[left], n // 2), grow(idx[~left], n - n // 2))
             return at
 
-        self.count = 0
-        self.root = grow(np.arange(len(sample)), self.leaves)
-        if self.leaves > 1 and len(sample):
-            rank = np.sort(self.margins(sample), axis=1)[:, :-1].ravel()  # beside the home shard
-            extra = min(len(rank), int((mean_probes - 1) * len(sample)))
-            self.tau = float(-np.partition(rank, len(rank) - extra)[len(rank) - extra]) if extra else -1.0
-
-    def margins(self, x: np.ndarray) -> np.ndarray:
-        out = np.empty((len(x), self.leaves), np.float32)
-
-        def walk(node: int, p: np.ndarray) -> None:
+        self.root = grow(np.arange(len(sample)), max(1, leaves))
+
+    def graft(self, trees: dict[int, Router]) -> None:
+        """Puts a tree in the place of leaves; other leaves stay. Leaves are numbered anew."""
+        planes, count = list(self.planes), 0
+        placed: dict[int, int] = {}
+        for leaf in range(self.leaves):
+            tree = trees.get(leaf)
+            if tree is None or not tree.planes:
+                placed[leaf] = ~count
+                count += 1
+                continue
+            base, first = len(planes), count
+            move = lambda c, base=base, first=first: ~(~c + first) if c < 0 else c + base
+            planes += [(w, t, move(a), move(b)) for w, t, a, b in tree.planes]
+            placed[leaf] = base + tree.root
+            count += tree.leaves
+        for i, (w, t, a, b) in enumerate(planes[: len(self.planes)]):
+            planes[i] = (w, t, placed[~a] if a < 0 else a, placed[~b] if b < 0 else b)
+        self.root = placed[0] if self.root < 0 else self.root
+        self.planes, self.leaves = planes, count
+
+    def visit(self, x: np.ndarray, tau: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, leaf, home): every row's own leaf, and the leaves whose margin, the smallest on their path, is within tau. Margins only fall on the way down, so
+        a subtree beyond tau is not entered: the cost of a row is the depth of the leaves it visits, not their number in the tree."""
+        tau = np.float32(self.tau if tau is None else tau)
+        out: list[tuple] = []
+        todo = [(self.root, np.arange(len(x)), np.full(len(x), np.inf, np.float32), np.ones(len(x), bool))]
+        while todo:
+            node, rows, p, home = todo.pop()
             if node < 0:
-                out[:, ~node] = p
-                return
+                out.append((rows, np.full(len(rows), ~node, np.int32), home))
+                continue
             w, t, a, b = self.planes[node]
-            m = x @ w - np.float32(t)
-            walk(a, np.minimum(p, -m))
-            walk(b, np.minimum(p, m))
-
-        walk(self.root, np.full(len(x), np.inf, np.float32))
-        return out
+            m = x[rows] @ w - t
+            for child, q, own in ((a, np.minimum(p, -m), home & (m < 0)), (b, np.minimum(p, m), home & (m >= 0))):
+                go = own | (q > -tau)
+                if go.any():
+                    todo.append((child, rows[go], q[go], own[go]))
+        return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, bool))
+
+    def fit_tau(self, sample: np.ndarray, mean_probes: float, rounds: int = 14) -> None:
+        """The margin within which the rows of the sample visit `mean_probes` leaves on average, found by bisection."""
+        if self.leaves < 2 or not len(sample) or mean_probes <= 1:
+            return
+        low, high = 0.0, 2.0  # rows and normals have length 1
+        for _ in range(rounds):
+            mid = (low + high) / 2
+            low, high = (low, mid) if len(self.visit(sample, mid)[0]) > mean_probes * len(sample) else (mid, high)
+        self.tau = low
 
 
 class Forest:
@@ -312,6 +346,7 @@ def similar_vectors(
     trees: int = 2,
     leaf: int = 64,
     probes: int = 16,
+    top_cells: int = 256,
     seed: int = 17,
 ) -> DataFrame:
     """(id, neighbor, similarity, rank): the k most similar vectors of each vector, by cosine rounded to 6 digits, then by id.
@@ -319,7 +354,8 @@ def similar_vectors(
     Takes part: rows with a non-null id whose vector has `dim` finite numbers, not all zero. Nulls, other lengths, null elements,
     NaN and infinities are left out; an id given twice counts once, and under different vectors takes the best of them. A vector
     alone in the collection has no row. Empty table: no rows. Other columns, whatever their names, are not read.
-    The routing tree is fitted on about `sample_rows` rows (bounded, chosen by a hash of the id); every row is indexed. Equal
+    The routing tree is fitted on about `sample_rows` rows (bounded, chosen by a hash of the id), and beyond `top_cells` shards, cell by cell,
+    on 64 rows for each shard; every row is indexed. Equal
     vectors collapse within each batch before the shuffle, keeping the k+1 smallest ids; the further members of such a group are
     answered from those ids alone, as k+1 equal vectors fill any list of k.
     """
@@ -328,16 +364,10 @@ def similar_vectors(
     )
     total = df.select(id_col).count()
     shards = max(1, math.ceil(total / shard_rows))
-    rate = min(1.0, sample_rows / max(1, total))
-    sample = np.empty((0, dim), np.float32)
-    if shards > 1:
-        got = base.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(rate * 1_000_000)).select("v").toArrow()
-        at, values = matrix(got.column("v").combine_chunks(), dim) if got.num_rows else (None, sample)
-        sample = unit(values).astype(np.float32) if len(values) else sample
-    router = Router(sample, shards if len(sample) else 1, mean_probes or 1 + 0.6 * math.log2(max(2, shards)), seed)
+    router = _fit(base, dim, total, shards, shard_rows, sample_rows, top_cells, mean_probes or 1 + 0.6 * math.log2(max(2, shards)), seed)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _joined(batches, ROUTED):
             at, values = matrix(batch.column(1), dim)
             if not len(at):
                 continue
@@ -354,26 +384,92 @@ def similar_vectors(
             g, nm = g[few], nm[few]
             offsets = np.searchsorted(g, np.arange(len(first) + 1))
             ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(nm, pa.string()))
-            m = router.margins(unit(values[first]).astype(np.float32))
-            best = m.argmax(1)
-            go = m > -router.tau
-            go[np.arange(len(m)), best] = True
-            row, shard = np.nonzero(go)
+            row, shard, home = router.visit(unit(values[first]).astype(np.float32))
             packed = pack(values[first])
             vec = pa.array([r.tobytes() for r in packed], pa.binary())
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(shard.astype(np.int32)), pa.array(best[row] == shard), ids.take(take), vec.take(take)], names=["shard", "home", "ids", "vec"]
+                [pa.array(shard), pa.array(home), ids.take(take), vec.take(take)], names=["shard", "home", "ids", "vec"]
             )
 
     def shard_search(table: pa.Table) -> pa.Table:
         return search_shard(table, dim, k, trees, leaf, probes, seed)
 
     routed = base.mapInArrow(route, "shard int, home boolean, ids array<string>, vec binary")
+    if shards > 1:  # a task for each shard, but for the few whose numbers fall together
+        routed = routed.repartition(3 * router.leaves, "shard")
     found = routed.groupBy("shard").applyInArrow(shard_search, f"id string, nbrs {NEIGHBOR}")
     merged = _merge(found, k).select("id", F.posexplode("nbrs").alias("at", "n"))
     direct = merged.select("id", F.col("n.id").alias("neighbor"), (-F.col("n.d")).alias("similarity"), (F.col("at") + 1).alias("rank"))
-    return direct.unionByName(_crowded(base, k))
+    crowded = _crowded(base, k)
+    return direct if crowded is None else direct.unionByName(crowded)
+
+
+#: Rows that are routed together: a tree of many planes is walked once for all of them.
+ROUTED = 50_000
+
+
+def _joined(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they have at least so many rows."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= rows:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _sample(base: DataFrame, rate: float, salt: int) -> DataFrame:
+    return base.where(F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(1_000_000)) < math.ceil(rate * 1_000_000)).select("v")
+
+
+def _units(col: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
+    col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+    values = matrix(col, dim)[1] if len(col) else np.empty((0, dim), np.float32)
+    return unit(values).astype(np.float32) if len(values) else np.empty((0, dim), np.float32)
+
+
+def _fit(base: DataFrame, dim: int, total: int, shards: int, shard_rows: int, sample_rows: int, top_cells: int, mean_probes: float, seed: int) -> Router:
+    """The routing tree. Its first `top_cells` leaves are fitted on a bounded sample on the driver. Where more shards are wanted, each of them is
+    split by a tree of its own, fitted by a task on about SPLIT_ROWS rows for each of its shards, with shards in proportion to what it holds;
+    the driver gets the planes, one for each shard."""
+    if shards == 1:
+        return Router(np.empty((0, dim), np.float32), 1, seed)
+    sample = _units(_sample(base, min(1.0, sample_rows / max(1, total)), 0).toArrow().column("v"), dim)
+    if not len(sample):
+        return Router(sample, 1, seed)
+    router = Router(sample, min(shards, top_cells), seed)
+    if shards > top_cells:
+        rate = min(1.0, SPLIT_ROWS / shard_rows)
+
+        def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in _joined(batches, ROUTED):
+                x = _units(b.column(0), dim)
+                row, cell, _ = router.visit(x, -1.0)
+                vec = pa.array([r.tobytes() for r in x[row]], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(cell), vec], names=["cell", "vec"])
+
+        def split(key: tuple, rows: pa.Table) -> pa.Table:
+            x = np.frombuffer(b"".join(rows.column("vec").to_pylist()), np.float32).reshape(-1, dim)
+            cell = key[0].as_py()
+            tree = Router(x, max(1, round(len(x) / rate / shard_rows)), seed + 1 + cell)
+            return pa.table({"cell": pa.array([cell], pa.int32()), "tree": pa.array([pickle.dumps((tree.planes, tree.root, tree.leaves))], pa.binary())})
+
+        parts = _sample(base, rate, 1).mapInArrow(cells, "cell int, vec binary").groupBy("cell").applyInArrow(split, "cell int, tree binary")
+        trees = {}
+        for r in parts.collect():  # at most top_cells rows
+            tree = Router.__new__(Router)
+            tree.planes, tree.root, tree.leaves = pickle.loads(r["tree"])
+            trees[r["cell"]] = tree
+        router.graft(trees)
+    router.fit_tau(sample, mean_probes)
+    return router
+
+
+#: Rows of the second sample for each shard.
+SPLIT_ROWS = 64
 
 
 def _merge(found: DataFrame, k: int) -> DataFrame:
@@ -390,15 +486,18 @@ def _once(sorted_nbrs: Column) -> Column:
     return F.when(F.size(F.array_distinct(ids)) < F.size(ids), firsts).otherwise(sorted_nbrs)
 
 
-def _crowded(base: DataFrame, k: int, salts: int = 16) -> DataFrame:
-    """Answers for ids beyond the k+1 smallest of a group of equal vectors: the k smallest ids of the group, similarity 1."""
+def _crowded(base: DataFrame, k: int, salts: int = 16) -> DataFrame | None:
+    """Answers for ids beyond the k+1 smallest of a group of equal vectors: the k smallest ids of the group, similarity 1. None where there is no
+    such group: then one scan of the vectors has told so."""
     top, low, inf = F.array_max("v"), F.array_min("v"), F.lit(float("inf"))
     usable = (top < inf) & (low > -inf) & ((top != 0) | (low != 0)) & (F.size(F.array_compact("v")) == F.size("v"))
     rows = base.where(usable).select(
         "id", F.struct(F.xxhash64("v"), F.hash("v")).alias("h"), F.pmod(F.hash("id"), F.lit(salts)).alias("salt")
     )
-    big = rows.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > k + 1).select("h")
-    inside = rows.join(big, "h", "left_semi")
+    big = cut_lineage(rows.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > k + 1).select("h"))
+    if big.isEmpty():
+        return None
+    inside = cut_lineage(rows.join(small(big), "h", "left_semi"))
     ranked = inside.withColumn("r", F.dense_rank().over(W.partitionBy("h", "salt").orderBy("id"))).where(F.col("r") <= k + 1)
     heads = ranked.select("h", "id").distinct().withColumn("r", F.row_number().over(W.partitionBy("h").orderBy("id"))).where(F.col("r") <= k + 1)
     heads = heads.groupBy("h").agg(F.sort_array(F.collect_list("id")).alias("first")).where(F.size("first") == k + 1)

@@ -68,5 +68,44 @@ def test_queue_opens_every_leaf_if_asked():
     f = Forest(x, 2, 32, np.random.default_rng(0))
     c, _ = candidates(f, x, x[:20], 10_000, 300)
     assert all(set(r) >= set(range(300)) for r in c.tolist())
-    r = Router(x, 5, 2.0)
-    assert r.margins(x).shape == (300, 5) and (r.margins(x) > -r.tau).sum() >= 300
+
+
+def test_router_visits_what_a_walk_over_all_planes_finds():
+    x = unit(np.random.default_rng(1).standard_normal((400, 6))).astype(np.float32)
+    r = Router(x, 7)
+    whole = Router(x, 3)
+    whole.graft({0: Router(x, 4), 2: Router(x[:0], 1)})
+    assert whole.leaves == 6
+    for tree in (r, whole):
+        tree.fit_tau(x, 2.0)
+        margins = np.full((len(x), tree.leaves), -9, np.float32)
+
+        def walk(node, p, tree=tree, margins=margins):
+            if node < 0:
+                margins[:, ~node] = p
+                return
+            w, t, a, b = tree.planes[node]
+            m = x @ w - t
+            walk(a, np.minimum(p, -m))
+            walk(b, np.minimum(p, m))
+
+        walk(tree.root, np.full(len(x), np.inf, np.float32))
+        row, leaf, home = tree.visit(x)
+        want = margins > -tree.tau
+        want[np.arange(len(x)), margins.argmax(1)] = True
+        got = np.zeros_like(want)
+        got[row, leaf] = True
+        assert np.array_equal(got, want) and len(row) == want.sum() and 1.5 < len(row) / len(x) <= 2.0
+        assert home.sum() == len(x) and np.array_equal(leaf[home][np.argsort(row[home])], margins.argmax(1))
+    alone = Router(x, 1)
+    alone.graft({0: Router(x, 4)})
+    assert alone.leaves == 4 and alone.visit(x)[2].sum() == len(x)
+
+
+def test_recall_with_trees_below_the_first_cells(spark):
+    rng = np.random.default_rng(2)
+    centres = rng.standard_normal((80, 4))
+    items = [(f"c{i:04d}", [float(x) for x in (centres[i % 80] + 0.02 * rng.standard_normal(4)).astype(np.float32)]) for i in range(1600)]
+    want = {(a, b) for a, b, _ in brute(items, 5)}
+    got = {(a, b) for a, b in rows(run(spark, items, k=5, shard_rows=100, sample_rows=400, top_cells=4), "id", "neighbor")}
+    assert len(want & got) / len(want) > 0.9
