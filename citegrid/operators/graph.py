@@ -148,6 +148,34 @@ class Graph:
         several depths."""
         a, b = ("src", "dst") if forward else ("dst", "src")
         edges = self.cites.select(F.col(a).alias("from"), F.col(b).alias("to"))
+        levels = self._levels(edges, paper, depth) if depth <= 3 else self._trails(edges, paper, depth)
+        every = levels[0]
+        for x in levels[1:]:
+            every = every.unionByName(x)
+        got = every.distinct().join(self.titled(), "id").select("id", "title", "year", "citation_count", "depth")
+        second = F.desc("citation_count") if forward else F.desc("year")
+        return got.orderBy("depth", second, "id").limit(most)
+
+    def _levels(self, edges: DataFrame, paper: str, depth: int) -> list[DataFrame]:
+        """(id, depth) for up to three steps, from papers reached and not from ways to them. Of the steps paper > a > b > c the second can only repeat the
+        first if both are a paper's citation of itself, and the third can repeat one of the others only if a is c: so two different a for each
+        b tell whether there is a way."""
+        p = F.lit(paper)
+        one = edges.where(F.col("from") == p).select(F.col("to").alias("a")).distinct()
+        at = lambda df, c, d: df.select(F.col(c).alias("id"), F.lit(d).alias("depth"))
+        levels = [at(one, "a", 1)]
+        two = edges.join(one, F.col("from") == F.col("a")).where(~((F.col("a") == p) & (F.col("to") == p))).groupBy(F.col("to").alias("b"))
+        two = two.agg(F.min("a").alias("low"), F.max("a").alias("high"))
+        if depth >= 2:
+            levels.append(at(two, "b", 2))
+        if depth >= 3:
+            c = F.col("to")
+            alone = (F.col("low") == c) & (F.col("high") == c) & ((F.col("b") == p) | (F.col("b") == c))
+            levels.append(at(edges.join(two, F.col("from") == F.col("b")).where(~alone).select("to").distinct(), "to", 3))
+        return levels[:depth]
+
+    def _trails(self, edges: DataFrame, paper: str, depth: int) -> list[DataFrame]:
+        """(id, depth) for more steps, from all ways of different citations: as many rows as there are ways."""
         walk = edges.where(F.col("from") == F.lit(paper)).select(F.col("to").alias("at"), F.array(F.struct("from", "to")).alias("used"))
         levels = [walk.select(F.col("at").alias("id"), F.lit(1).alias("depth"))]
         for d in range(2, depth + 1):
@@ -156,32 +184,50 @@ class Graph:
             walk = walk.join(e, F.col("at") == F.col(f"f{d}")).where(~F.array_contains("used", step))
             walk = walk.select(F.col(f"t{d}").alias("at"), F.concat("used", F.array(step)).alias("used"))
             levels.append(walk.select(F.col("at").alias("id"), F.lit(d).alias("depth")))
-        every = levels[0]
-        for x in levels[1:]:
-            every = every.unionByName(x)
-        got = every.distinct().join(self.titled(), "id").select("id", "title", "year", "citation_count", "depth")
-        second = F.desc("citation_count") if forward else F.desc("year")
-        return got.orderBy("depth", second, "id").limit(most)
+        return levels
 
     def path(self, start: str, goal: str, most: int = 4) -> list[str]:
         """Shortest undirected path, the smallest in order of ids; [] if there is none within `most` steps or start is goal.
 
-        The frontier keeps one path per paper and stops when the goal is in it; only that one path comes to the driver.
+        The two ends are widened in turn, the smaller front first, and only ids are kept, until the fronts meet. Then the levels between are cut down
+        to what lies on a shortest path, and the path is read off from the start, a row a step.
         """
         if start == goal:
             return []
         e = cut_lineage(self.near().distinct())
-        front = self.papers.where(F.col("id") == F.lit(start)).select(F.col("id").alias("at"), F.array("id").alias("way")).limit(1)
-        seen = front.select("at")
-        for d in range(1, most + 1):
-            step = e.select(F.col("src").alias("at"), F.col("dst").alias(f"n{d}"))
-            nxt = front.join(step, "at").groupBy(F.col(f"n{d}").alias("next")).agg(F.min(F.concat("way", F.array(f"n{d}"))).alias("way"))
-            front = cut_lineage(nxt.withColumnRenamed("next", "at").join(seen, "at", "left_anti"))
-            hit = front.where(F.col("at") == F.lit(goal)).select("way").first()
-            if hit:
-                return list(hit["way"])
-            seen = seen.unionByName(front.select("at"))
-        return []
+        ends = self.papers.where(F.col("id").isin(start, goal)).select("id").distinct().collect()
+        if len(ends) < 2:
+            return []
+        one = lambda x: cut_lineage(self.papers.where(F.col("id") == F.lit(x)).select("id").limit(1))
+        levels, size = {True: [one(start)], False: [one(goal)]}, {True: 1, False: 1}
+        while True:
+            near, far = levels[True][-1], levels[False][-1]
+            middle = near.join(far, "id", "left_semi")
+            if not middle.isEmpty():
+                break
+            side = size[True] <= size[False]
+            if len(levels[True]) + len(levels[False]) - 2 == most or not size[side]:
+                return []
+            mine = levels[side]
+            nxt = e.join(mine[-1].withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
+            for old in mine[-2:]:  # a neighbour of a level is in it, in the one before or in the next
+                nxt = nxt.join(old, "id", "left_anti")
+            nxt = cut_lineage(nxt)
+            mine.append(nxt)
+            size[side] = nxt.count()
+        # what can follow on each step: levels beyond the middle are the other end's, backwards
+        steps = [*levels[True][1:-1], middle, *reversed(levels[False][:-1])]
+        if len(levels[True]) == 1:
+            steps = list(reversed(levels[False][:-1]))
+        ways = [steps[-1]]
+        for level in reversed(steps[:-1]):
+            back = e.join(ways[0].withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id"))
+            ways.insert(0, cut_lineage(level.join(back, "id", "left_semi")))
+        way = [start]
+        for level in ways:
+            on = e.where(F.col("src") == F.lit(way[-1])).select(F.col("dst").alias("id"))
+            way.append(level.join(on, "id", "left_semi").orderBy("id").first()["id"])
+        return way
 
     # ------------------------------------------------------------ fields and authors
 

@@ -1,4 +1,5 @@
 import datetime
+import random
 
 import pytest
 from conftest import rows
@@ -73,3 +74,37 @@ def test_all_authors_on_request(spark):
     g, every = Graph(df), Graph(df, authors=None, categories=None)
     assert (g.authored.count(), g.in_category.count(), g.coauthored().count()) == (20, 10, 190)
     assert (every.authored.count(), every.in_category.count(), every.coauthored().count()) == (25, 25, 300)
+
+
+def test_paths_against_brute_force(spark):
+    rng = random.Random(8)
+    names = "abcdefghijklmn"
+    edges = {(rng.choice(names), rng.choice(names)) for _ in range(17)}
+    g = build(spark, [a + b for a, b in edges], known=names.upper())
+    near = {n: sorted({b for a, b in edges if a == n} | {a for a, b in edges if b == n}) for n in names}
+
+    def brute(s, t):
+        front = [[s]]
+        for _ in range(4):
+            front = [w + [n] for w in front for n in near[w[-1]] if n not in w]
+            hit = sorted(w for w in front if w[-1] == t)
+            if hit:
+                return hit[0]
+        return []
+
+    pairs = [(a, b) for a in "abc" for b in "defgk"]
+    got = {p: [x.removeprefix("arxiv:") for x in g.path(f"arxiv:{p[0]}", f"arxiv:{p[1]}")] for p in pairs}
+    assert got == {p: brute(*p) for p in pairs} and {len(w) for w in got.values()} >= {0, 3}
+
+
+def test_lineage_equals_the_ways(spark):
+    rng = random.Random(9)
+    for n, m in ((3, 7), (4, 9), (6, 14)):
+        names = "abcdef"[:n]
+        edges = {(rng.choice(names), rng.choice(names)) for _ in range(m)} | {("a", "b"), ("b", "a"), ("a", "a")}
+        g = build(spark, [a + b for a, b in edges], known=names.upper())
+        e = g.cites.selectExpr("src as from", "dst as to")
+        for d in (1, 2, 3):
+            ways = [x for level in g._trails(e, "arxiv:a", d) for x in rows(level.distinct())]
+            assert sorted(x for level in g._levels(e, "arxiv:a", d) for x in rows(level)) == sorted(ways), (edges, d)
+    assert g.lineage("arxiv:a", 4).count() > 0
