@@ -163,5 +163,7 @@ def paper_key(c: Column) -> Column:
 
 
 def current_papers(papers: DataFrame) -> DataFrame:
-    """The collection that the graph and the index are built on: latest versions, keyed by their bare id with its prefix."""
-    return dedup_latest(papers, base=bare_id(F.col("id"))).withColumn("id", paper_key(F.col("id"))).drop("base_id")
+    """The collection that the graph and the index are built on: latest versions, keyed by their bare id with its prefix. The key is made of what
+    the versions are grouped by, so a filter on it goes below the choice of the version."""
+    latest = dedup_latest(papers, base=bare_id(F.col("id")))
+    return latest.withColumn("id", F.concat(F.lit("arxiv:"), "base_id")).drop("base_id")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import bounded
+from ..session import few, local
 
 K1, B = 1.2, 0.75
 
@@ -163,7 +163,7 @@ def ranked(hits: DataFrame) -> DataFrame:
 
 def texts_of(index: Index, hits: DataFrame, most: int = 200) -> DataFrame:
     """(chunk_id, ...): the entries behind hits, a local report of at most `most` rows. Their ids become a filter of the scan."""
-    ids = [r["chunk_id"] for r in bounded(hits.select("chunk_id"), most).collect()]
+    ids = [r["chunk_id"] for r in few(hits.select("chunk_id"), most)]
     return index.entries.where(F.col("chunk_id").isin(*ids))
 
 
@@ -175,8 +175,7 @@ def rerank(hits: DataFrame, index: Index, query: str, papers: DataFrame | None =
     j = hits.join(texts_of(index, hits).select("chunk_id", "chunk_text"), "chunk_id", "left")
     text = F.when(F.coalesce("chunk_text", F.lit("")) != "", F.col("chunk_text"))
     if papers is not None:
-        few = [r["paper_id"] for r in hits.select("paper_id").distinct().collect()]
-        named = papers.where(F.col("id").isin(*few)).select(F.col("id").alias("paper_id"), F.concat_ws(". ", "title", "abstract").alias("record"))
+        named = papers.where(F.col("id").isin(*{r["paper_id"] for r in few(hits.select("paper_id"), 200)})).select(F.col("id").alias("paper_id"), F.concat_ws(". ", "title", "abstract").alias("record"))
         j = j.join(named, "paper_id", "left")
         text = F.coalesce(text, "record")
     hit = F.size(F.array_intersect(words(F.coalesce(text, F.lit(""))), wanted)) / F.lit(max(1, len(terms)))
@@ -211,9 +210,9 @@ def matched_chunks(hits: DataFrame, index: Index, width: int = 800) -> DataFrame
 
 def expand(papers: DataFrame, hits: DataFrame, index: Index, vector: list[float], top: int = 5, full: int = 3, fetch: int = 6) -> DataFrame:
     """Further chunks of the first `top` papers that have under `full`: one scan filtered by their ids, ranked per paper by the unscaled dense score."""
-    firsts = bounded(papers.orderBy(F.desc("best_score"), "first_rank").limit(top).select("paper_id", "n_chunks"), top)
-    few = {r["paper_id"]: r["n_chunks"] for r in firsts.collect() if r["n_chunks"] < full}
-    own = _usable(index, vector, F.col("paper_id").isin(*few)).select("chunk_id", "paper_id", F.round(dot(F.col("embedding"), vector), 6).alias("score"))
+    first = {r["paper_id"]: r["n_chunks"] for r in few(papers.orderBy(F.desc("best_score"), "first_rank").limit(top).select("paper_id", "n_chunks"), top) if r["n_chunks"] < full}
+    firsts = local(hits.sparkSession, list(first.items()), "paper_id string, n_chunks bigint")
+    own = _usable(index, vector, F.col("paper_id").isin(*first)).select("chunk_id", "paper_id", F.round(dot(F.col("embedding"), vector), 6).alias("score"))
     w = W.partitionBy("paper_id").orderBy(F.desc("score"), "chunk_id")
     best = own.withColumn("r", F.row_number().over(w)).where(F.col("r") <= fetch)
     new = best.join(hits.select("chunk_id"), "chunk_id", "left_anti").withColumn("r", F.row_number().over(w)).join(firsts, "paper_id")

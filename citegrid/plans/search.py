@@ -12,7 +12,7 @@ from ..functions import text as T
 from ..operators import retrieval as R
 from ..operators.graph import Graph
 from ..operators.learning import learning_path
-from ..session import bounded
+from ..session import bounded, few, local
 from . import context as C
 from .providers import Offline, Provider
 
@@ -65,12 +65,15 @@ class Engine:
         """At most `most` hits with their rank, as a local table: what follows reads them several times."""
         cond = R.filters(p.year_min, p.year_max, p.categories, p.chunk_type)
         n = R.over_fetch(p.top_k, p.use_rerank, most)
-        top = R.ranked(bounded(R.hybrid_topk(self.index, vector, p.query, n, p.alpha, cond), n))
+        spark = self.papers.sparkSession
+        best = few(R.hybrid_topk(self.index, vector, p.query, n, p.alpha, cond), n)  # in order
+        schema = "chunk_id string, paper_id string, score double, rank int"
+        top = local(spark, [(r["chunk_id"], r["paper_id"], r["score"], i) for i, r in enumerate(best, 1)], schema)
         if not p.use_rerank:
-            return bounded(top.withColumn("rerank_score", F.lit(None).cast("double")), n)
-        again = R.rerank(bounded(top, n), self.index, p.query, self.papers)
-        order = R.W.partitionBy().orderBy(F.desc("rerank_score"), "rank")
-        return bounded(again.withColumn("rank", F.row_number().over(order)), n)
+            return top.withColumn("rerank_score", F.lit(None).cast("double"))
+        again = few(R.rerank(top, self.index, p.query, self.papers), n)
+        order = sorted(again, key=lambda r: (-r["rerank_score"], r["rank"]))
+        return local(spark, [(r["chunk_id"], r["paper_id"], r["score"], i, r["rerank_score"]) for i, r in enumerate(order, 1)], schema + ", rerank_score double")
 
     def search(self, p: SearchParams, vector: list[float] | None = None, most: int = 80) -> DataFrame:
         """Papers, best first: scores, their chunks and how many siblings were added, and the record: of the first chunk's entry or of the
@@ -80,11 +83,10 @@ class Engine:
         papers = bounded(R.group_papers(hits, p.top_k), p.top_k)
         more = R.expand(papers, hits, self.index, vector).groupBy("paper_id").agg(F.count("*").alias("expanded"))
         got = R.with_metadata(papers, self.index).join(more, "paper_id", "left").withColumn("expanded", F.coalesce("expanded", F.lit(0)))
-        return self._recorded(got).orderBy(F.desc("best_score"), "first_rank")
+        return self._recorded(got, [r["paper_id"] for r in papers.collect()]).orderBy(F.desc("best_score"), "first_rank")
 
-    def _recorded(self, got: DataFrame) -> DataFrame:
-        few = [r["paper_id"] for r in got.select("paper_id").collect()]
-        own = self.papers.where(F.col("id").isin(*few)).select(F.col("id").alias("paper_id"), *[F.col(c).alias(f"_{c}") for c in ("title", "year", "abstract", "authors", "categories", "pdf_url", "citation_count") if c in self.papers.columns])
+    def _recorded(self, got: DataFrame, ids: list[str]) -> DataFrame:
+        own = self.papers.where(F.col("id").isin(*ids)).select(F.col("id").alias("paper_id"), *[F.col(c).alias(f"_{c}") for c in ("title", "year", "abstract", "authors", "categories", "pdf_url", "citation_count") if c in self.papers.columns])
         j = got.join(own, "paper_id", "left")
         for c in ("abstract", "authors", "categories", "pdf_url", "citation_count"):
             if f"_{c}" not in j.columns:
@@ -116,10 +118,10 @@ class Engine:
         basic = C.basic_context(papers, hits, self.index, self.papers)
         if self.graph is None:
             return "\n\n".join(r["text"] for r in basic.orderBy("pos").collect())  # five rows
-        few = [(r["paper_id"],) for r in papers.select("paper_id").collect()]  # top_k rows
-        if not few:
+        found = [(r["paper_id"],) for r in papers.select("paper_id").collect()]  # top_k rows
+        if not found:
             return ""
-        ids = papers.sparkSession.createDataFrame(few, "id string")
+        ids = local(papers.sparkSession, found, "id string")
         firsts = C.first_papers(papers, hits, self.index, self.papers)
         rows = C.enriched_context(firsts, ids, self.graph).collect()  # at most 18 rows
         order = ["paper", "related", "foundational", "expert"]

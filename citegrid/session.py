@@ -6,8 +6,11 @@ import atexit
 import shutil
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, DateType, DecimalType, MapType, StructType, TimestampType
 
 
 def build_session(app: str = "citegrid", master: str | None = None, **conf: str) -> SparkSession:
@@ -53,12 +56,27 @@ def small(df: DataFrame, most: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def bounded(df: DataFrame, most: int) -> DataFrame:
-    """A report of at most `most` rows, computed once and held by the driver as a local table. More rows are an error."""
+def few(df: DataFrame, most: int) -> list[Row]:
+    """The rows of a report of at most `most` rows. More rows are an error."""
     rows = df.limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"more than {most} rows")
-    return df.sparkSession.createDataFrame(rows, df.schema)
+    return rows
+
+
+def local(spark: SparkSession, rows: list[tuple], schema: str | StructType) -> DataFrame:
+    """A few rows as a table whose size the planner knows, so that joins send it to the other side."""
+    kinds = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    if any(isinstance(f.dataType, (ArrayType, MapType, StructType, DateType, TimestampType, DecimalType)) for f in kinds.fields):
+        return spark.createDataFrame(rows, kinds)
+    arrow = to_arrow_schema(kinds)
+    cols = list(zip(*rows)) if rows else [()] * len(kinds.fields)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow)], schema=arrow), kinds)
+
+
+def bounded(df: DataFrame, most: int) -> DataFrame:
+    """A report of at most `most` rows, computed once and held by the driver as a local table."""
+    return local(df.sparkSession, few(df, most), df.schema)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
