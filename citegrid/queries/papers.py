@@ -223,13 +223,16 @@ def _keywords(abstract: str = "abstract") -> str:
 _DAY = "epoch(ts)::bigint // 86400"
 
 
-#: Sections with their type in SQL.
-SECTIONS = f"""with one as (select * from parsed_papers qualify row_number() over (partition by paper_id order by parsed_at) = 1),
-        s as (select paper_id, greatest(len(sections), 1)::double as n, unnest(sections) as s, unnest(range(len(sections)))::int as pos from one),
-        f as (select paper_id, n, pos, s.heading as heading, trim(regexp_replace({strip('lower(s.heading)')}, '^[0-9.\\s]+', '')) as b from s
-              qualify row_number() over (partition by paper_id, s."text"[:200] order by pos) = 1)
-        select paper_id, pos as section_index, heading,
+#: Sections of {0}, which has one row for each {1}, with their type in SQL; {2}: further columns.
+SECTIONS_OF = (
+    f"""with s as (select {{1}}, greatest(len(sections), 1)::double as n, unnest(sections) as s, unnest(range(len(sections)))::int as pos from {{0}}),
+        f as (select {{1}}, n, pos, s."text" as text, s.heading as heading, trim(regexp_replace({strip('lower(s.heading)')}, '^[0-9.\\s]+', '')) as b from s
+              qualify row_number() over (partition by {{1}}, s."text"[:200] order by pos) = 1)
+        select {{1}}, pos as section_index, heading{{2}},
         case when heading is null or heading = '' then 'unknown' else coalesce({_EXACT}, {_INSIDE}, {_PLACE}) end as section_type from f"""
+)
+_ONE = "(select * from parsed_papers qualify row_number() over (partition by paper_id order by parsed_at) = 1)"
+SECTIONS = SECTIONS_OF.format(_ONE, "paper_id", "")
 
 
 def _sliding(source: str, hour: int = 1, day: int = 5) -> str:

@@ -19,8 +19,8 @@ from ..session import cut_lineage, shared_dir, table
 from ..sources.fetch import citation_lookup
 from ..sources.sinks import failed_ids
 from . import graph as G
-from .papers import SECTIONS, section_class
-from .sql import CURRENT, GRAPH, INDEX, bare, field, strip
+from .papers import SECTIONS, SECTIONS_OF, section_class
+from .sql import CURRENT, GRAPH, INDEX, bare, field, strip, version
 
 TEMPLATE = "Write a short abstract that answers: {query}"
 
@@ -71,6 +71,23 @@ def kept_sections(spark, d):
     return s.groupBy("section_type", T.kept_section(F.col("section_type")).alias("kept")).agg(F.count("*").alias("n"))
 
 
+def single_chunks(spark, d):
+    """Chunks of abstracts and of sections that are one chunk."""
+    from .papers import chunk_sections
+
+    c = chunk_sections(spark, d)
+    n = F.count("*").over(G.W.partitionBy("paper_id", "section_index"))
+    return c.withColumn("n", n).where(F.col("n") == 1).select("chunk_id", "paper_id", "chunk_type", "section_heading", "chunk_text")
+
+
+def split_sections(spark, d):
+    """Sections of several chunks."""
+    from .papers import chunk_sections
+
+    per = chunk_sections(spark, d).groupBy("paper_id", "section_index").agg(F.count("*").alias("n"))
+    return per.where(F.col("n") > 1).select("paper_id", "section_index")
+
+
 def token_costs(spark, d):
     """Tokens of the texts by source and what their vectors cost."""
     t = table(spark, d, "documents").groupBy("source").agg(F.coalesce(F.sum(T.token_count(F.col("text"))), F.lit(0)).alias("tokens"))
@@ -147,7 +164,7 @@ def enriched_context(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    paper_display, service_texts, answer_markup, kept_sections, token_costs, waypoint_positions, upsert_failed, embed_cached_chunks,
+    paper_display, service_texts, answer_markup, kept_sections, single_chunks, split_sections, token_costs, waypoint_positions, upsert_failed, embed_cached_chunks,
     citation_fetch, run_report, ingest_progress, gaps_text, bridges_text, paper_contexts, enriched_context,
 )}
 
@@ -170,6 +187,25 @@ _CONTEXTS = f""",
     people as (select id, 'author' as part, row_number() over (partition by id order by name) as pos, name || ': ' || string_agg({_clip("title", 50)}, ', ' order by r) as text
                from works group by id, name qualify pos <= 2),
     ctx as (from refs union all from citers union all from people)"""
+
+
+def _count(c: str) -> str:
+    return f"len(regexp_extract_all({c}, '{_TOKENS}'))"
+
+
+#: Sections that chunks are made of, with their first lines: j(pid, pos, heading, section_type, text, prefix, n); and abstracts a(pid, text, prefix).
+_CHUNKED = f"""with {CURRENT},
+    one as (select *, 'arxiv:' || {bare("paper_id")} as key from parsed_papers
+            qualify row_number() over (partition by key order by {version(strip("lower(paper_id)"))} desc, parsed_at nulls last, paper_id) = 1),
+    typed as ({SECTIONS_OF.format("one", "key", ', text')}),
+    j0 as (select c.pid, section_index, heading, section_type, t.text, '[' || {_CHUNK_FIELD} || ' | ' || coalesce(year::varchar, '') || '] ' || coalesce(title, '') as head
+           from typed t join cur c on c.pid = t.key where section_type not in ('skip', 'related_work')),
+    j as (select *, head || case when coalesce(heading, '') <> '' then chr(10) || 'Section: ' || heading else '' end as prefix from j0
+          where {_count("coalesce(text, '')")} >= 100),
+    a as (select c.pid, coalesce(case when abstract <> '' then abstract end, abstract_text) as text,
+                 '[' || {_CHUNK_FIELD} || ' | ' || coalesce(year::varchar, '') || '] ' || coalesce(title, '') || chr(10) || 'Section: Abstract' as prefix
+          from one join cur c on c.pid = one.key)"""
+_FITS = f"{_count('text')} <= 595 - {_count('prefix')}"
 _BRIDGES = f"""select id, title, year, citation_count from titled where id in (select paper from in_cat where category = '{G.CATEGORY}')
     and id in (select paper from in_cat where category = '{G.OTHER}') order by citation_count desc nulls last, id limit 10"""
 
@@ -186,6 +222,11 @@ ORACLES = {
             array_to_string(regexp_extract_all(text, '\*\*([^*\n]+)\*\*', 1), '|') as bold from documents where text is not null)
         select * from m where bullets > 0 or bold <> ''""",
     "kept_sections": f"select section_type, section_type not in ('skip', 'related_work') as kept, count(*) as n from ({SECTIONS}) group by all",
+    "single_chunks": f"""{_CHUNKED}
+        select pid || '_s' || section_index || '_c0' as chunk_id, pid as paper_id, section_type as chunk_type, heading as section_heading, prefix || chr(10) || text as chunk_text
+        from j where {_FITS}
+        union all select pid || '_abstract', pid, 'abstract', 'Abstract', prefix || chr(10) || text from a where {_count("coalesce(text, '')")} >= 100""",
+    "split_sections": f"{_CHUNKED} select pid as paper_id, section_index from j where not ({_FITS})",
     "token_costs": rf"""with t as (select source, coalesce(sum(len(regexp_extract_all(text, '{_TOKENS}'))), 0)::bigint as tokens from documents group by source)
         select source, tokens, round(tokens / 1e6 * 0.02, 9)::double as cost from t""",
     "waypoint_positions": "select n::int as steps, i::int as pos, round(i / (n + 1.0), 9)::double as place from range(1, 7) a(n), range(1, 7) b(i) where i <= n",
