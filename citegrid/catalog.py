@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators.orphans import paper_orphans
-from .queries import graph, papers, retrieval, support
+from .queries import graph, papers, retrieval, sources, support
 from .session import table
 
 
@@ -25,7 +25,7 @@ def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.groupBy("field", period, "reason").agg(F.count("*").alias("n_refs"), F.countDistinct("key").alias("n_keys"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p3_report": p3_report, **graph.QUERIES, **retrieval.QUERIES, **papers.QUERIES, **support.QUERIES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p3_report": p3_report, **graph.QUERIES, **retrieval.QUERIES, **papers.QUERIES, **support.QUERIES, **sources.QUERIES}
 
 #: Orphan references in SQL: papers, withdrawals -> o(paper_id, field, ref_id, as_of, reason).
 _BARE = r"regexp_replace(regexp_replace(regexp_replace(lower({0}), '^\s+|\s+$', '', 'g'), '^(arxiv:|abs/)\s*', ''), 'v[0-9]+$', '')"
@@ -47,4 +47,5 @@ ORACLES: dict[str, str] = {
     **retrieval.ORACLES,
     **papers.ORACLES,
     **support.ORACLES,
+    **sources.ORACLES,
 }

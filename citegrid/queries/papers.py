@@ -235,7 +235,7 @@ _ONE = "(select * from parsed_papers qualify row_number() over (partition by pap
 SECTIONS = SECTIONS_OF.format(_ONE, "paper_id", "")
 
 
-def _sliding(source: str, hour: int = 1, day: int = 5) -> str:
+def sliding(source: str, hour: int = 1, day: int = 5) -> str:
     """SQL: requests by ip in order of time, each step with the times accepted so far."""
     back = "epoch_us(r.ts) - t"
     ok = f"(len(list_filter(acc, lambda t: {back} < 3600000000)) < {hour} and len(list_filter(acc, lambda t: {back} < 86400000000)) < {day})"
@@ -288,8 +288,8 @@ ORACLES = {
         e as (select preset, unnest(parts) as part, unnest(range(len(parts))) as i from p),
         t as (select preset, string_agg(coalesce(categories, part), ',' order by i) as categories from e left join c on archive = part group by preset)
         select preset, len(string_split(categories, ',')) as n, categories from t""",
-    "rate_limit_ip": _sliding("events"),
-    "admission": _sliding(f"(select * from events qualify row_number() over (partition by {_DAY} order by ts, event_id) <= 200)"),
+    "rate_limit_ip": sliding("events"),
+    "admission": sliding(f"(select * from events qualify row_number() over (partition by {_DAY} order by ts, event_id) <= 200)"),
     "section_class": SECTIONS,
     "unparsed_papers": f"with {CURRENT} select pid as id from cur where pid not in (select 'arxiv:' || {bare('paper_id')} from parsed_papers where paper_id is not null)",
     "chunk_type_shares": f"with {INDEX}, c as (select chunk_type, count(*) as n from idx group by 1) select chunk_type, n, round_even(100 * n / sum(n) over (), 2) as percent from c",

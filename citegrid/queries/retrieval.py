@@ -172,7 +172,7 @@ _SPARSE = f""",
     idf as (select term, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) as idf from tf, st group by term, n),
     sp as (select chunk_id, paper_id, sum(tf / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl)) * idf / (select sum(idf) from idf)) as sparse
            from tf join idf using (term), st group by all)"""
-_HYBRID = f"""{_DENSE}{_SPARSE},
+HYBRID = f"""{_DENSE}{_SPARSE},
     hy as (select chunk_id, d.paper_id, round(0.7 * dense + 0.3 * coalesce(sparse, 0), 6) as score from d left join sp using (chunk_id) order by score desc, chunk_id limit 20),
     rk as (select *, row_number() over (order by score desc, chunk_id) as rank from hy),
     gp as (select paper_id, max(score) as best_score, min(rank)::int as first_rank, string_agg(chunk_id, ',' order by rank) as chunks, count(*) as n_chunks
@@ -187,7 +187,7 @@ def _mixed(expr: str) -> str:
 
 _KEYED = f"'arxiv:' || {bare('hy.paper_id')}"
 #: search_papers: twenty hits under the papers' keys, ranked anew, grouped, siblings counted, records joined.
-_SEARCH = f"""{_HYBRID.replace("with ", f"with {CURRENT},", 1)},
+_SEARCH = f"""{HYBRID.replace("with ", f"with {CURRENT},", 1)},
     h0 as (select hy.chunk_id, {_KEYED} as paper_id, hy.score, row_number() over (order by hy.score desc, hy.chunk_id) as r0,
                   round(len(list_intersect(list_distinct(w.w), [{_TERMS}])) / {len(set(TEXT.split()))}, 6) as rr from hy join w using (chunk_id)),
     h1 as (select *, row_number() over (order by rr desc, r0) as rank, case when rr <> 0 then rr else score end as value from h0),
@@ -216,11 +216,11 @@ ORACLES = {
     "document_frequencies": f"""with {INDEX}, t as (select distinct chunk_id, unnest(regexp_extract_all(lower(chunk_text), '[a-z0-9]+')) as term from idx)
         select term, count(*) as df from t group by term""",
     "sparse_topk": f"{_DENSE}{_SPARSE} select chunk_id, paper_id, round(sparse, 6) as score from sp{_TOP}",
-    "hybrid_topk": f"{_HYBRID} select chunk_id, paper_id, score from hy",
-    "group_papers": f"{_HYBRID} select * from gp",
-    "rerank_topk": f"""{_HYBRID} select hy.*, round(len(list_intersect(list_distinct(w.w), [{_TERMS}])) / {len(set(TEXT.split()))}, 6) as rerank_score
+    "hybrid_topk": f"{HYBRID} select chunk_id, paper_id, score from hy",
+    "group_papers": f"{HYBRID} select * from gp",
+    "rerank_topk": f"""{HYBRID} select hy.*, round(len(list_intersect(list_distinct(w.w), [{_TERMS}])) / {len(set(TEXT.split()))}, 6) as rerank_score
         from hy join w using (chunk_id)""",
-    "expand_chunks": f"""{_HYBRID},
+    "expand_chunks": f"""{HYBRID},
         o as (select chunk_id, d.paper_id, round(dense, 6) as score, n_chunks, row_number() over (partition by d.paper_id order by round(dense, 6) desc, chunk_id) as r
               from d join gp on gp.paper_id = d.paper_id where n_chunks < 3),
         n as (select *, row_number() over (partition by paper_id order by score desc, chunk_id) as p from o where r <= 6 and chunk_id not in (select chunk_id from hy))
@@ -232,8 +232,8 @@ ORACLES = {
             case when len(embedding) > 0 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding) then len(embedding) else 0 end as dim from idx)
         select count(*) as entries, count(*) filter (dim > 0) as vectors, count(distinct paper_id) as papers, sum(dl)::bigint as words,
         round(count(*) filter (dim > 0) / greatest(count(*), 1), 6) as fullness, sum(4 * dim + coalesce(length(chunk_text), 0))::bigint as bytes from w""",
-    "chunk_metadata": f"""{_HYBRID}, f as (select gp.*, string_split(chunks, ',')[1] as first_chunk from gp)
+    "chunk_metadata": f"""{HYBRID}, f as (select gp.*, string_split(chunks, ',')[1] as first_chunk from gp)
         select f.paper_id, first_chunk, title, year, chunk_type from f join idx on idx.chunk_id = first_chunk""",
-    "search_chunks": f"""{_HYBRID} select rk.paper_id, rk.chunk_id, chunk_type, section_heading, score, rank, chunk_text[:800] as snippet
+    "search_chunks": f"""{HYBRID} select rk.paper_id, rk.chunk_id, chunk_type, section_heading, score, rank, chunk_text[:800] as snippet
         from rk join idx on idx.chunk_id = rk.chunk_id""",
 }
