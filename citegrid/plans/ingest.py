@@ -47,11 +47,20 @@ def ingest_abstracts(raw: DataFrame, path: str, latest_year: int, fresh: bool =
     return report(raw, papers, chunks)
 
 
-def build_graph(raw: DataFrame, path: str) -> DataFrame:
-    """Vertex and edge tables, written whole."""
+def build_graph(raw: DataFrame, path: str, coauthors: bool = True) -> DataFrame:
+    """Vertex and edge tables, written whole, each vertex and edge once and clustered by what they are looked up by; citations from either end."""
     g = Graph(P.current_papers(raw))
-    for name, df in {"papers": g.papers, "cites": g.cites, "authored": g.authored, "in_category": g.in_category, "coauthored": g.coauthored()}.items():
-        rebuild(df, f"{path}/{name}")
+    tables = {
+        "papers": (g.papers.dropDuplicates(["id"]), ["id"]),
+        "cites": (g.cites, ["src", "dst"]),
+        "cited": (g.cites, ["dst", "src"]),
+        "authored": (g.authored, ["name", "paper"]),
+        "in_category": (g.in_category, ["category", "paper"]),
+    }
+    if coauthors:
+        tables["coauthored"] = (g.coauthored(), ["a", "b"])
+    for name, (df, keys) in tables.items():
+        rebuild(df.repartitionByRange(*keys).sortWithinPartitions(*keys), f"{path}/{name}")
     return g.stats()
 
 
