@@ -15,7 +15,7 @@ from ..operators.store import storage_bytes, stored_index
 from ..plans.providers import Offline
 from ..session import bounded, table
 from . import graph as G
-from .sql import CURRENT, INDEX, bare, field
+from .sql import CURRENT, GRAPH, INDEX, bare, field, strip
 
 TEXT = "stable gradient for entity linking with sparse encoders"
 DIM = 96
@@ -125,12 +125,17 @@ def best_chunks(spark, d):
 
 
 def path_steps(spark, d):
+    """A learning path of four waypoints between two vectors, with the record and the reason of each step."""
+    return _path(spark, d).withColumn("authors", F.concat_ws(", ", "authors"))
+
+
+def _path(spark, d):
     a, b = vectors(spark, d, 1)[0], vectors(spark, d, 1, last=True)[0]
     return learning_path(keyed_index(spark, d), G.graph(spark, d), (a, "stable gradient"), (b, "sparse encoder"), 4, Offline().explain)
 
 
 def path_coverage(spark, d):
-    return coverage(path_steps(spark, d))
+    return coverage(_path(spark, d))
 
 
 def chat_events(spark, d):
@@ -206,6 +211,45 @@ _SEARCH = f"""{HYBRID.replace("with ", f"with {CURRENT},", 1)},
     coalesce(contains(lower(c.abstract), 'github'), false) as has_code, regexp_matches(lower(coalesce(i.title, c.title, '')), 'survey|review|overview') as is_survey
     from g1 left join x1 using (paper_id) left join idx i on i.chunk_id = first_chunk left join cur c on c.pid = g1.paper_id"""
 
+
+
+def _anchor(n: int, vector: str, text: str) -> str:
+    """SQL: an{n}(paper_id, score), the best of ten hybrid hits for a vector and a text."""
+    terms = ", ".join(f"'{t}'" for t in sorted(set(text.split())))
+    return f""",
+    tf{n} as (select chunk_id, dl, term, count(*) as tf from (select chunk_id, len(w) as dl, unnest(w) as term from w) where term in ({terms}) group by all),
+    idf{n} as (select term, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) as idf from tf{n}, st group by term, n),
+    sp{n} as (select chunk_id, sum(tf / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl)) * idf / (select sum(idf) from idf{n})) as sparse
+              from tf{n} join idf{n} using (term), st group by all),
+    hy{n} as (select v.chunk_id, 'arxiv:' || {bare("v.paper_id")} as paper_id, coalesce(citation_count, 0)::double as cc,
+                     round(0.7 * list_dot_product(embedding::double[], (select v from {vector})) + 0.3 * coalesce(sparse, 0), 6) as score
+              from vec v left join sp{n} using (chunk_id) order by score desc, v.chunk_id limit 10),
+    an{n} as (select paper_id, score from hy{n} order by 0.6 * score + 0.4 * least(cc / 100, 1) desc, score desc, chunk_id limit 1)"""
+
+
+def _waypoint(i: int, steps: int = 4) -> str:
+    """SQL: l{i}, candidates at the i-th of `steps` places that no earlier one has seen, and p{i}, at{i}: the one taken, and where the path then is."""
+    seen = " union all ".join(f"select paper_id from {x}" for x in ("an1", "an2", *(f"l{j}" for j in range(1, i))))
+    t = i / (steps + 1)
+    return f""",
+    m{i} as (select list_transform(list_zip((select v from q), (select v from vb)), lambda x: (1 - {t}::double) * x[1] + {t}::double * x[2]) as v),
+    t{i} as (select chunk_id, 'arxiv:' || {bare("paper_id")} as paper_id, coalesce(citation_count, 0)::double as cc,
+                    round(list_dot_product(embedding::double[], (select v from m{i})), 6) as score from vec order by score desc, chunk_id limit 20),
+    l{i} as (select * from t{i} where paper_id not in ({seen}) order by score desc, chunk_id limit 10),
+    p{i} as (select paper_id, score from l{i} order by 0.4 * score + 0.3 * least(cc / 50, 1)
+             + 0.3 * (paper_id in (select dst from near where src = (select here from at{i - 1})))::int + 0.01 desc, score desc, chunk_id limit 1),
+    at{i} as (select coalesce((select paper_id from p{i}), (select here from at{i - 1})) as here)"""
+
+
+_PATH = f"""{GRAPH}, {INDEX}, vb as (select embedding::double[] as v from vec where is_fulltext order by chunk_id desc limit 1),
+    w as (select chunk_id, regexp_extract_all(lower(chunk_text), '[a-z0-9]+') as w from idx), st as (select count(*) as n, avg(len(coalesce(w, []))) as avgdl from w)
+    {_anchor(1, "q", "stable gradient")}{_anchor(2, "vb", "sparse encoder")}, at0 as (select paper_id as here from an1)
+    {"".join(_waypoint(i) for i in range(1, 5))},
+    chosen as (select 0 as o, paper_id, 0.0 as position, score from an1 {" ".join(f"union all select {i}, paper_id, {i / 5}, score from p{i}" for i in range(1, 5))}
+               union all select 9, paper_id, 1.0, score from an2),
+    path as (select (row_number() over (order by o) - 1)::int as step, paper_id, position::double as position, score as similarity, lead(paper_id) over (order by o) as nxt from chosen),
+    linked as (select p.*, coalesce(nxt in (select dst from near where src = p.paper_id), false) as has_citation_link from path p)"""
+
 ORACLES = {
     "dense_topk": f"{_DENSE} select chunk_id, paper_id, round(dense, 6) as score from d{_TOP}",
     "dense_topk_filtered": f"""{_DENSE} select chunk_id, paper_id, round(dense, 6) as score from d
@@ -236,4 +280,9 @@ ORACLES = {
         select f.paper_id, first_chunk, title, year, chunk_type from f join idx on idx.chunk_id = first_chunk""",
     "search_chunks": f"""{HYBRID} select rk.paper_id, rk.chunk_id, chunk_type, section_heading, score, rank, chunk_text[:800] as snippet
         from rk join idx on idx.chunk_id = rk.chunk_id""",
+    "learning_path": _PATH
+    + f""" select step, paper_id, title, year::int as year, abstract, citation_count::int as citations, coalesce(array_to_string(authors, ', '), '') as authors,
+        {field("coalesce(categories[1], primary_category)")} as field, pdf_url, similarity, position, has_citation_link,
+        {strip("coalesce(nullif(title, ''), paper_id)")} as why_read from linked left join cur on pid = paper_id""",
+    "path_coverage": _PATH + " select round_even(sum(has_citation_link::int) / greatest(count(*) - 1, 1), 2) as coverage, count(*) as steps from linked",
 }
