@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, Filter, GreaterThanOrEqual, InputPartition, LessThanOrEqual
 
 RAW = (
     "id string, arxiv_id string, title string, abstract string, authors array<string>, published string, published_date string, year int, "
@@ -142,12 +142,20 @@ class CategoryPartition(InputPartition):
 
 
 def live_source(name: str, fetch: Callable[[str, dict], Iterator[tuple]]) -> type[DataSource]:
-    """A data source that scans one category per partition through `fetch(category, options)`, which pages, paces and retries."""
+    """A data source that scans one category per partition through `fetch(category, options)`, which pages, paces and retries (sources.fetch). With
+    spark.sql.python.filterPushdown.enabled, bounds on `published` arrive there as the options start and end."""
 
     class Reader(DataSourceReader):
         def __init__(self, options: dict):
             self.options = dict(options)
 
+        def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+            """Bounds of the day of publication go to `fetch` as options; all filters are tested again, as a service may give more."""
+            for f in filters:
+                if f.attribute == ("published",) and isinstance(f, (GreaterThanOrEqual, LessThanOrEqual)):
+                    self.options["start" if isinstance(f, GreaterThanOrEqual) else "end"] = f.value
+                yield f
+
         def partitions(self) -> list[InputPartition]:
             return [CategoryPartition(c) for c in self.options["categories"].split(",")]
 

@@ -87,6 +87,17 @@ def test_live_source(spark):
     assert rows(spark.read.format("fake_live").option("categories", "x,y").load(), "arxiv_id") == [("x",), ("y",)]
 
 
+def test_bounds_reach_the_live_source(spark):
+    def fetch(category, options):
+        for day in ("2020-01-01", "2021-01-01", "2022-01-01"):
+            yield (f"arxiv:{day}", options.get("start"), options.get("end"), None, None, day, None, 2000, None, category, None, None, None)
+
+    spark.dataSource.register(S.live_source("bounded_live", fetch))
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    df = spark.read.format("bounded_live").option("categories", "x").load().where("published >= '2021-01-01' and published <= '2021-12-31'")
+    assert rows(df, "id", "arxiv_id", "title") == [("arxiv:2021-01-01", "2021-01-01", "2021-12-31")]
+
+
 def test_ingest(spark, sf, tmp_path):
     raw = spark.read.parquet(f"{sf}/papers.parquet")
     a = {r.what: r.n for r in ingest_abstracts(raw, str(tmp_path), 2026).collect()}
