@@ -138,11 +138,26 @@ def path_coverage(spark, d):
     return coverage(_path(spark, d))
 
 
+class Fixed(Offline):
+    """A provider whose vector for every text is the same."""
+
+    def __init__(self, vector: list[float]):
+        super().__init__(len(vector))
+        self.vector = vector
+
+    def embed(self, text: str) -> list[float]:
+        return self.vector
+
+    def expand(self, query: str) -> str | None:
+        return None
+
+
 def chat_events(spark, d):
+    """Sources, answer in tokens and end of a chat."""
     from ..plans.search import ChatParams, Engine
 
-    engine = Engine(keyed_index(spark, d), current_papers(table(spark, d, "papers")))
-    return spark.createDataFrame(list(engine.chat(ChatParams("stable gradient for entity linking"))), "seq int, type string, payload string")
+    engine = Engine(keyed_index(spark, d), current_papers(table(spark, d, "papers")), Fixed(vectors(spark, d, 1)[0]))
+    return spark.createDataFrame(list(engine.chat(ChatParams(TEXT))), "seq int, type string, payload string")
 
 
 QUERIES = {
@@ -192,7 +207,7 @@ def _mixed(expr: str) -> str:
 
 _KEYED = f"'arxiv:' || {bare('hy.paper_id')}"
 #: search_papers: twenty hits under the papers' keys, ranked anew, grouped, siblings counted, records joined.
-_SEARCH = f"""{HYBRID.replace("with ", f"with {CURRENT},", 1)},
+SEARCH = f"""{HYBRID.replace("with ", "", 1)},
     h0 as (select hy.chunk_id, {_KEYED} as paper_id, hy.score, row_number() over (order by hy.score desc, hy.chunk_id) as r0,
                   round(len(list_intersect(list_distinct(w.w), [{_TERMS}])) / {len(set(TEXT.split()))}, 6) as rr from hy join w using (chunk_id)),
     h1 as (select *, row_number() over (order by rr desc, r0) as rank, case when rr <> 0 then rr else score end as value from h0),
@@ -203,7 +218,8 @@ _SEARCH = f"""{HYBRID.replace("with ", f"with {CURRENT},", 1)},
                   row_number() over (partition by g1.paper_id order by round(dense, 6) desc, d.chunk_id) as r
            from d join g1 on g1.paper_id = 'arxiv:' || {bare("d.paper_id")} where n_chunks < 3),
     n1 as (select paper_id, n_chunks, row_number() over (partition by paper_id order by score desc, chunk_id) as p from o1 where r <= 6 and chunk_id not in (select chunk_id from hy)),
-    x1 as (select paper_id, count(*) as expanded from n1 where p <= 3 - n_chunks group by 1)
+    x1 as (select paper_id, count(*) as expanded from n1 where p <= 3 - n_chunks group by 1)"""
+_SEARCH = f"""with {CURRENT}, {SEARCH}
     select g1.paper_id, best_score, rerank_score, first_rank, chunks, n_chunks, coalesce(expanded, 0) as expanded, coalesce(i.title, c.title, '') as title,
     coalesce(i.year, c.year)::int as year, coalesce(c.abstract, '')[:1000] as abstract, coalesce(array_to_string(c.authors[1:10], ', '), '') as authors,
     coalesce(array_to_string(c.categories[1:10], ','), '') as categories, coalesce(c.pdf_url, '') as pdf_url, {field("i.primary_category")} as field,

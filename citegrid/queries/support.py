@@ -20,6 +20,7 @@ from ..sources.fetch import citation_lookup
 from ..sources.sinks import failed_ids
 from . import graph as G
 from .papers import SECTIONS, SECTIONS_OF, section_class
+from .retrieval import SEARCH
 from .sql import CURRENT, GRAPH, INDEX, bare, field, strip, version
 
 TEMPLATE = "Write a short abstract that answers: {query}"
@@ -271,4 +272,18 @@ ORACLES = {
         union all select 'related', row_number() over (order by shared desc, c desc, id), {_clip("coalesce(title, '')", 70)} from rel
         union all select 'foundational', row_number() over (order by k desc, c desc, id), {_clip("coalesce(title, '')", 70)} from com
         union all select 'expert', row_number() over (order by k desc, c desc, name), name || ' (' || k || ' papers)' from exp""",
+    "chat_events": f"""{GRAPH}, {SEARCH}{_CONTEXTS.replace("from seeds s", "from (select paper_id as id from g1) s")},
+        sn as (select h1.paper_id, {_clip("chunk_text", 400)} as t, rank, row_number() over (partition by h1.paper_id order by rank) as r
+               from h1 join idx using (chunk_id) where coalesce(chunk_text, '') <> ''),
+        bd as (select paper_id, string_agg(t, chr(10) order by rank) as body from sn where r <= 3 group by paper_id),
+        f1 as (select paper_id from g1 order by best_score desc, first_rank limit 1),
+        jj as (select string_agg({_clip("text", 60)}, '; ' order by pos) filter (part = 'reference') as r, string_agg({_clip("text", 60)}, '; ' order by pos) filter (part = 'citer') as c,
+                      string_agg({_clip("text", 200)}, '; ' order by pos) filter (part = 'author') as a from ctx where id = (from f1)),
+        b0 as (select title, year, coalesce(body, {_clip("abstract", 400)}) as body from f1 left join bd using (paper_id) left join cur on pid = f1.paper_id),
+        tx as (select concat_ws(chr(10), '[1] ' || coalesce(title, '') || ' (' || coalesce(year::varchar, '') || ')', {_clip("body", 350)},
+                      'Cites: ' || r, 'Cited by: ' || c, 'Authors: ' || a) as text from b0, jj),
+        tk as (select string_split(string_split(text, chr(10) || chr(10))[1], ' ') as ws from tx)
+        select 0 as seq, 'sources' as type, (select string_agg(paper_id, ',' order by best_score desc, first_rank) from g1) as payload
+        union all select i::int, 'token', ws[i] from (select ws, unnest(range(1, len(ws) + 1)) as i from tk)
+        union all select len(ws)::int + 1, 'done', '' from tk""",
 }
