@@ -78,10 +78,16 @@ def _len(a: pa.Array) -> np.ndarray:
 
 
 def _split(a: pa.Array, pattern: str | None) -> tuple[pa.Array, np.ndarray]:
-    """Parts of all strings (at white space without a pattern), and the string each is from."""
-    parts = pc.utf8_split_whitespace(a) if pattern is None else pc.split_pattern(a, pattern)
+    """Parts of all strings, and the string each is from; without a pattern the parts between white space, none of them empty."""
+    # white space is trimmed first: the kernel that splits at it reads past the end of strings that end in it
+    parts = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(a)) if pattern is None else pc.split_pattern(a, pattern)
     n = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
-    return parts.flatten(), np.repeat(np.arange(len(a)), n)
+    flat, of = parts.flatten(), np.repeat(np.arange(len(a)), n)
+    if pattern is None:
+        full = np.flatnonzero(np.asarray(pc.binary_length(flat)) > 0)
+        if len(full) < len(flat):
+            flat, of = flat.take(pa.array(full)), of[full]
+    return flat, of
 
 
 def _sums(of: np.ndarray, n: int, weights: np.ndarray | None = None) -> np.ndarray:
