@@ -143,19 +143,28 @@ class CategoryPartition(InputPartition):
 
 def live_source(name: str, fetch: Callable[[str, dict], Iterator[tuple]]) -> type[DataSource]:
     """A data source that scans one category per partition through `fetch(category, options)`, which pages, paces and retries (sources.fetch). With
-    spark.sql.python.filterPushdown.enabled, bounds on `published` arrive there as the options start and end."""
+    spark.sql.python.filterPushdown.enabled, bounds on `published` arrive there as the options start and end; without, it scans all and Spark filters."""
+
+    class Push:
+        """Bounds of the day of publication go to `fetch` as options; all filters are tested again, as a service may give more."""
+
+        # Spark refuses a reader with a method pushFilters of its own where pushdown is off. This one may go uncalled.
+        __func__ = staticmethod(DataSourceReader.pushFilters)
 
-    class Reader(DataSourceReader):
         def __init__(self, options: dict):
-            self.options = dict(options)
+            self.options = options
 
-        def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-            """Bounds of the day of publication go to `fetch` as options; all filters are tested again, as a service may give more."""
+        def __call__(self, filters: list[Filter]) -> Iterator[Filter]:
             for f in filters:
                 if f.attribute == ("published",) and isinstance(f, (GreaterThanOrEqual, LessThanOrEqual)):
                     self.options["start" if isinstance(f, GreaterThanOrEqual) else "end"] = f.value
                 yield f
 
+    class Reader(DataSourceReader):
+        def __init__(self, options: dict):
+            self.options = dict(options)
+            self.pushFilters = Push(self.options)
+
         def partitions(self) -> list[InputPartition]:
             return [CategoryPartition(c) for c in self.options["categories"].split(",")]
 

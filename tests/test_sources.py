@@ -98,6 +98,25 @@ def test_bounds_reach_the_live_source(spark):
     assert rows(df, "id", "arxiv_id", "title") == [("arxiv:2021-01-01", "2021-01-01", "2021-12-31")]
 
 
+def test_live_source_without_pushdown(spark):
+    def fetch(category, options):
+        for day in ("2020-01-01", "2021-01-01", "2022-01-01"):
+            yield (f"arxiv:{day}", options.get("start"), options.get("end"), None, None, day, None, 2000, None, category, None, None, None)
+
+    key = "spark.sql.python.filterPushdown.enabled"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "false")
+        spark.dataSource.register(S.live_source("either_live", fetch))
+        read = lambda: spark.read.format("either_live").option("categories", "x").load()
+        assert read().count() == 3
+        assert rows(read().where("published >= '2021-01-01' and published <= '2021-12-31'"), "id", "arxiv_id", "title") == [("arxiv:2021-01-01", None, None)]
+        spark.conf.set(key, "true")
+        assert rows(read().where("published >= '2021-01-01' and published <= '2021-12-31'"), "id", "arxiv_id", "title") == [("arxiv:2021-01-01", "2021-01-01", "2021-12-31")]
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_ingest(spark, sf, tmp_path):
     raw = spark.read.parquet(f"{sf}/papers.parquet")
     a = {r.what: r.n for r in ingest_abstracts(raw, str(tmp_path), 2026).collect()}
