@@ -1,8 +1,11 @@
 import json
 
+import pytest
 from conftest import rows
+from oracle import check
 from pyspark.sql import functions as F
 
+from citegrid import catalog
 from citegrid.plans.ingest import build_graph, ingest_abstracts
 from citegrid.sources import records as S
 from citegrid.sources import sinks
@@ -117,6 +120,17 @@ def test_live_source_without_pushdown(spark):
         spark.conf.set(key, before)
 
 
+@pytest.mark.parametrize("pushdown", ["false", "true"])
+def test_live_scan_equals_sql_with_either_setting(spark, sf, pushdown):
+    key = "spark.sql.python.filterPushdown.enabled"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, pushdown)
+        check(spark, sf, catalog.QUERIES["live_scan"], catalog.ORACLES["live_scan"])
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_ingest(spark, sf, tmp_path):
     raw = spark.read.parquet(f"{sf}/papers.parquet")
     a = {r.what: r.n for r in ingest_abstracts(raw, str(tmp_path), 2026).collect()}
