@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import rows
 
@@ -109,3 +110,19 @@ def test_recall_with_trees_below_the_first_cells(spark):
     want = {(a, b) for a, b, _ in brute(items, 5)}
     got = {(a, b) for a, b in rows(run(spark, items, k=5, shard_rows=100, sample_rows=400, top_cells=4), "id", "neighbor")}
     assert len(want & got) / len(want) > 0.9
+
+
+def test_crowds_of_similar_vectors(spark):
+    """Each vector has 749 others about as near: its 10 nearest are spread over many leaves."""
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((16, 96)).astype(np.float32)
+    x = np.repeat(centres / np.linalg.norm(centres, axis=1)[:, None], 750, 0)
+    noise = rng.standard_normal(x.shape).astype(np.float32)
+    x = (x + 0.31 * noise / np.linalg.norm(noise, axis=1)[:, None])[rng.permutation(len(x))]
+    df = spark.createDataFrame(pa.table({"id": [str(i) for i in range(len(x))], "v": pa.array(list(x), pa.list_(pa.float32()))}))
+    found = set(rows(similar_vectors(df, "id", "v", dim=96), "id", "neighbor"))
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    s = u[:1000] @ u.T
+    s[np.arange(1000), np.arange(1000)] = -9
+    true = {(str(i), str(j)) for i, r in enumerate(np.argpartition(-s, 10, axis=1)[:, :10]) for j in r}
+    assert len(true & found) > 0.995 * len(true)
